@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +91,52 @@ def id_bounds(docs: DataFrame, id_column: str, rows_per_part: int, most_parts: i
     found = sorted(r.i for r in sample.limit(60 * parts).collect()) if parts > 1 else []
     cuts = {found[k * len(found) // parts] for k in range(1, parts)} if found else set()
     return sorted((cuts - {top}) | {top})
+
+
+class Remembered:
+    """Values of distinct words, made when first met, in two generations of bounded size.
+
+    Words met again move to the young generation; when it is full the old one
+    goes.  One instance lives as long as its worker process.
+    """
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
+
+    def lookup(self, words: list[str]) -> list:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in missing:
+            if (x := self.old.get(words[i])) is None:
+                new.append(words[i])
+            else:
+                self.young[words[i]] = x
+        self.young.update(zip(new, self.make(new)) if new else ())
+        for i in missing:
+            found[i] = self.young[words[i]]
+        return found
+
+
+def coded_tokens(texts: pa.Array, lower: bool = False):
+    """Distinct white-space tokens of an Arrow column of texts, the code of each token in turn, and each text's first place.
+
+    The last is one longer than the texts, so that text ``i`` has the tokens
+    ``places[i]`` to ``places[i + 1]``.
+    """
+    texts = pc.fill_null(texts, "")
+    cut = pc.utf8_split_whitespace(pc.utf8_lower(texts) if lower else texts)
+    coded = cut.flatten().dictionary_encode()
+    places = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))))
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), places
+
+
+def reduce_texts(values: np.ndarray, places: np.ndarray, how, empty) -> np.ndarray:
+    """``how.reduceat`` over each text's tokens; texts without tokens get ``empty``."""
+    out = np.full((len(places) - 1, *values.shape[1:]), empty, dtype=values.dtype)
+    full = np.flatnonzero(np.diff(places))
+    if len(full):
+        out[full] = how.reduceat(values, places[:-1][full], axis=0)
+    return out

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -27,13 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import held_out, learnable, record_batch, small_batches
+from edgeloom.llm.common import Remembered, coded_tokens, held_out, learnable, record_batch, reduce_texts, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Distinct tokens whose phrase counts a worker remembers before it starts afresh.
 MOST_REMEMBERED = 400_000
-#: Bits of a counter in a packed sum: a text of up to 2**40 letters.
-LANE = 40
 
 
 class Automaton:
@@ -122,33 +121,36 @@ class Model:
                 self.edges.append(automaton.freeze())
                 self.bits.append(math.log2(automaton.letters + 1))
 
-    def packed(self, token: str) -> int:
-        """Letters of a token in the lowest lane, then its phrases for each language."""
-        total = 0
-        for word in WORD.findall(token.lower()):
-            total += len(word)
-            for i, edges in enumerate(self.edges):
-                total += phrases(edges, word) << (LANE * (i + 1))
-        return total
-
-    def decide(self, packed: int) -> tuple[str, float]:
-        """The language, and how far its bits lie below the next one's (0 to 1)."""
-        mask = (1 << LANE) - 1
-        if not packed & mask or not self.languages:
-            return "und", 0.0
-        bits = [(packed >> (LANE * (i + 1)) & mask) * b for i, b in enumerate(self.bits)]
-        best = min(range(len(bits)), key=bits.__getitem__)
-        rest = min((b for i, b in enumerate(bits) if i != best), default=math.inf)
-        return self.languages[best], 1.0 if math.isinf(rest) else 1.0 - bits[best] / rest if rest else 0.0
-
-
-class Memo(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, token):
-        self[token] = found = self.make(token)
-        return found
+    def count(self, tokens: list[str]) -> list[bytes]:
+        """For each token its letters, then its phrases for each language, as 32-bit integers."""
+        out = []
+        for token in tokens:
+            row = array("i", bytes(4 * (len(self.edges) + 1)))
+            for word in WORD.findall(token.lower()):
+                row[0] += len(word)
+                for i, edges in enumerate(self.edges):
+                    row[i + 1] += phrases(edges, word)
+            out.append(row.tobytes())
+        return out
+
+    def decide(self, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """For rows of summed counts: the language, and how far its bits lie below the next one's (0 to 1)."""
+        n = len(sums)
+        if not self.languages:
+            return ["und"] * n, np.zeros(n)
+        bits = sums[:, 1:] * np.array(self.bits)
+        best = bits.argmin(axis=1)
+        least = bits[np.arange(n), best]
+        bits[np.arange(n), best] = np.inf
+        rest = bits.min(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            score = np.where(np.isinf(rest), 1.0, np.where(rest > 0, 1.0 - least / rest, 0.0))
+        known = sums[:, 0] > 0
+        return [self.languages[i] if k else "und" for i, k in zip(best, known)], np.where(known, score, 0.0)
+
+
+#: A worker's memo, by the broadcast model that it belongs to.
+_MEMOS: dict[int, Remembered] = {}
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_language: int = 400, letters_per_language: int = 60_000, most_languages: int = 200) -> Model:
@@ -174,16 +176,19 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     schema = pa.schema([("i", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
 
+    key = shared._jbroadcast.id()
+
     def run(batches):
         model = shared.value
-        memo = Memo(model.packed)
+        if key not in _MEMOS:
+            _MEMOS.clear()
+            _MEMOS[key] = Remembered(model.count, MOST_REMEMBERED)
         for batch in small_batches(batches):
-            found = []
-            for text in batch.column(1).to_pylist():
-                found.append(model.decide(sum(map(memo.__getitem__, (text or "").split()))))
-                if len(memo) > MOST_REMEMBERED:
-                    memo.clear()
-            yield record_batch({"i": batch.column(0), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}, schema)
+            tokens, codes, places = coded_tokens(batch.column(1))
+            each = np.frombuffer(b"".join(_MEMOS[key].lookup(tokens)), dtype=np.int32).reshape(-1, len(model.edges) + 1)
+            sums = reduce_texts(each[codes].astype(np.int64), places, np.add, 0)
+            langs, score = model.decide(sums)
+            yield record_batch({"i": batch.column(0), "lang_pred": langs, "score": score}, schema)
 
     got = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).mapInArrow(run, "i long, lang_pred string, score double")
     return got.withColumnRenamed("i", id_column)

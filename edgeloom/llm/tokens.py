@@ -18,24 +18,32 @@ import os
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.llm.common import id_bounds, record_batch, small_batches
+from edgeloom.llm.common import Remembered, id_bounds, record_batch, small_batches
 
-#: Distinct words whose ids a worker remembers before it starts afresh.
+#: Distinct words whose ids a worker remembers in each of two generations.
 MOST_REMEMBERED = 500_000
-#: White space at which texts may be cut: the tokenizer drops it and no token or normalisation reaches across.
-CUTS = " \n"
+#: Text bytes encoded at a time.
+ENCODE_BYTES = 8 << 20
+#: Words in one call of the library.
+WORDS_A_CALL = 500
 
+_ENCODERS: dict[str, Encoder] = {}
 
-class WordMemo:
-    """Ids (as native 32-bit bytes) by word, each encoded by the library when first met.
 
-    Two generations bound the memory: words met again move to the young one, and
-    when that is full the old one goes.
+class Encoder:
+    """Encodes Arrow columns of texts with the library.
+
+    A tokenizer that drops white space encodes a text as its words in turn.  So
+    a column is cut at spaces and newlines, and each distinct word is encoded by
+    the library when first met; its ids are kept for later.  Other
+    tokenizers encode whole texts as they are.
     """
 
     def __init__(self, path: str):
@@ -43,55 +51,75 @@ class WordMemo:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-
-    def learn(self, found: set[str]) -> None:
-        """Make every word of ``found`` stand in ``young``."""
-        missing = found.difference(self.young)
-        if len(self.young) + len(missing) > MOST_REMEMBERED:
-            self.old, self.young, missing = self.young, {}, found
-        young, old, new = self.young, self.old, []
-        for w in missing:
-            if (x := old.get(w)) is None:
-                new.append(w)
-            else:
-                young[w] = x
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                young[w] = array("i", e.ids).tobytes()
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = set()
-        for ws in split:
-            found.update(ws)
-        self.learn(found)
-        get = self.young.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in split]
-
-
-def _encoder(path: str, end_id: int, bounds: list[int], id_column: str):
+        self.tokenizer, self.memo = Tokenizer.from_file(path), Remembered(self._new, MOST_REMEMBERED)
+        alone = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.by_word = alone(" \n ") == [] and alone("ab cd\nef") == alone("ab") + alone("cd") + alone("ef") and alone(" gh") == alone("gh")
+        vocabulary = self.tokenizer.get_vocab()
+        #: ids that end a stretch of letters, where the vocabulary marks such ends
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One encoder a worker process: later tasks find the words of earlier ones."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Let the library encode words; those of letters only go many to a call, as each ends with one marked id."""
+        plain, rest, found = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()], {}
+        calls = [plain[i : i + WORDS_A_CALL] for i in range(0, len(plain), WORDS_A_CALL)]
+        for ws, e in zip(calls, self.tokenizer.encode_batch_fast([" ".join(ws) for ws in calls], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=np.int32)
+            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(stops) != len(ws) or stops[-1] != 4 * len(ids):
+                rest += ws
+                continue
+            data, at = ids.tobytes(), 0
+            for w, stop in zip(ws, stops.tolist()):
+                found[w] = data[at:stop]
+                at = stop
+        for i in range(0, len(rest), 20_000):
+            for w, e in zip(rest[i : i + 20_000], self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False)):
+                found[w] = array("i", e.ids).tobytes()
+        return [found[w] for w in words]
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, an end id after each, and the number of ids of each."""
+        texts = pc.fill_null(texts, "")
+        if self.by_word:
+            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            coded = cut.flatten().dictionary_encode()
+            data = self.memo.lookup(coded.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
+            flat, codes = np.frombuffer(b"".join(data), dtype=np.int32), coded.indices.to_numpy()
+            each = sizes[codes]
+            upto = np.concatenate(([0], np.cumsum(each)))
+            places = np.repeat((np.cumsum(sizes) - sizes)[codes] - upto[:-1], each) + np.arange(upto[-1])
+            ids, stops = flat[places], upto[np.cumsum(pc.list_value_length(cut).to_numpy())]
+        else:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ids, stops = np.array([i for x in lists for i in x], dtype=np.int32), np.cumsum([len(x) for x in lists], dtype=np.int64)
+        return np.insert(ids, stops, end_id), np.diff(stops, prepend=0) + 1
+
+
+def _encoder(path: str, end_id: int, id_column: str):
     schema = pa.schema([("part", pa.int32()), (id_column, pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    end = array("i", [end_id]).tobytes()
 
     def run(batches):
-        memo, part, before = WordMemo(path), None, 0
-        for batch in small_batches(batches):
-            data = memo.encode([t or "" for t in batch.column(2).to_pylist()], end)
-            parts, counts, starts = batch.column(0).to_pylist(), [len(x) // 4 for x in data], []
-            for p, n in zip(parts, counts):
+        encoder, part, before = Encoder.of(path), None, 0
+        for batch in small_batches(batches, most=ENCODE_BYTES):
+            ids, counts = encoder.encode(batch.column(2), end_id)
+            starts = []
+            for p, n in zip(batch.column(0).to_pylist(), counts.tolist()):
                 if p != part:
                     part, before = p, 0
                 starts.append(before)
                 before += n
-            offsets = array("i", [0])
-            for n in counts:
-                offsets.append(offsets[-1] + n)
-            flat = b"".join(data)
-            values = pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)])
-            ids = pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets.tobytes())]), values)
-            yield record_batch({"part": batch.column(0), id_column: batch.column(1), "local_start": starts, "n_tokens": counts, "ids": ids}, schema)
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32, copy=False)))
+            yield record_batch({"part": batch.column(0), id_column: batch.column(1), "local_start": starts, "n_tokens": counts, "ids": lists}, schema)
 
     return run
 
@@ -103,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t"))
     dealt = data.mapInArrow(_router(bounds), "part int, i long, t string").repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("i"), "t")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField(id_column, T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    writer = dealt.mapInArrow(_encoder(tokenizer_path, end_id, bounds, id_column), schema).write.mode("errorifexists")
+    writer = dealt.mapInArrow(_encoder(tokenizer_path, end_id, id_column), schema).write.mode("errorifexists")
     settings = {
         "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 1000, "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd",
@@ -126,8 +154,6 @@ def _router(bounds: list[int]):
     schema = pa.schema([("part", pa.int32()), ("i", pa.int64()), ("t", pa.string())])
 
     def run(batches):
-        import numpy as np
-
         cuts = np.array(bounds, dtype=np.int64)
         for batch in batches:
             ids = batch.column(0)
