@@ -6,20 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import decontaminate, simhash, tokens
+from edgeloom.llm import decontaminate, mixing, simhash, tokens, toxicity
 from edgeloom.llm.common import table, workdir
 from edgeloom.llm.queries import TOKENIZER
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on ``labels``, doesn't reject."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
     return simhash.dedup(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without windows of two or more benchmark items."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks."""
+    return mixing.take(docs)
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the mix as token files; return what they hold, a row a document."""
     import public_tokenizers
 
     path = workdir(spark, "tokens")
@@ -30,8 +43,10 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", not_toxic),
     ("near_duplicates", near_duplicates),
     ("decontamination", benchmark_free),
+    ("mixing", mixed),
     ("token_output", token_output),
 ]
 

@@ -32,7 +32,7 @@ from edgeloom.llm.common import Remembered, coded_tokens, held_out, learnable, r
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Distinct tokens whose phrase counts a worker remembers before it starts afresh.
-MOST_REMEMBERED = 400_000
+MOST_REMEMBERED = 300_000
 
 
 class Automaton:

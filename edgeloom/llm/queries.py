@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import decontaminate, simhash, tokens
+from edgeloom.llm import decontaminate, digest, langid, mixing, simhash, tokens, toxicity
 from edgeloom.llm.common import table, workdir
 
 #: Default of the tokenizer parameter: a name of the installed public vocabularies.
@@ -21,16 +21,36 @@ def op1_token_output(spark: SparkSession, sf_dir: str, tokenizer_path: str | Non
     return tokens.digest(spark, path)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op7_language_id": op7_language_id,
+    "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_quartile_digest": op10_quartile_digest,
 }

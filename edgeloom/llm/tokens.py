@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from edgeloom.llm.common import Remembered, id_bounds, record_batch, small_batches
 
 #: Distinct words whose ids a worker remembers in each of two generations.
-MOST_REMEMBERED = 500_000
+MOST_REMEMBERED = 300_000
 #: Text bytes encoded at a time.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 #: Words in one call of the library.
 WORDS_A_CALL = 500
 

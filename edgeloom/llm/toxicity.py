@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import Remembered, coded_tokens, held_out, learnable, record_batch, reduce_texts, small_batches
 
 #: Weight of a character that an occurrence spans.
-DECAY = 0.5
+DECAY = 0.85
+#: Costs of a margin that is not met: by an insult, by one with an inserted character, by a unit of clean text.
+COSTS = (1.0, 1.0, 10.0)
 #: Longer units are taken in windows of this length that overlap by half.
 WINDOW = 24
 #: Tokens whose margins a worker remembers in each of two generations.
-MOST_REMEMBERED = 500_000
+MOST_REMEMBERED = 300_000
 #: Units scored at a time.
 UNITS_AT_ONCE = 20_000
 PUNCTUATION = re.compile(r"[\W_]+")
@@ -70,6 +72,17 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
+def unlike(docs: list[list[list[str]]]) -> list[list[list[str]]]:
+    """The documents of which less than half of the sentences stand in earlier ones: copies say nothing twice."""
+    seen, out = set(), []
+    for d in docs:
+        keys = {tuple(s) for s in d}
+        if keys and 2 * len(keys & seen) < len(keys) or not keys:
+            out.append(d)
+        seen |= keys
+    return out
+
+
 class Kernel:
     """Kernel values of strings against fixed landmarks."""
 
@@ -170,40 +183,40 @@ def grams(unit: str, sizes=(4, 5, 6)) -> set[str]:
     return {unit[i : i + n] for n in sizes for i in range(len(unit) - n + 1)}
 
 
-def choose_landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]], most: int, least_docs: int = 3) -> list[str]:
-    """Strings that cover the toxic documents, the best first, then common units of both kinds."""
+def choose_landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]], most: int, least_docs: int = 3) -> tuple[list[str], list[float]]:
+    """Strings that cover the toxic documents, the best first, then common units of both kinds; and the evidence (0 to 1) for each."""
     per_clean = [{u for s in d for u in s} for d in clean]
     seen = Counter(u for us in per_clean for u in us)
     tolerated = len(clean) // 500  # a unit in so few clean documents may still be an insult
     per_toxic = [{u for s in d for u in s if seen[u] <= tolerated and len(u) >= 3} for d in toxic]
-    found, holders = [{g for u in us for g in (grams(u) | {u})} for us in per_toxic], Counter()
-    for gs in found:
-        holders.update(gs)
+    found, holders = [{u: grams(u) | {u} for u in us} for us in per_toxic], Counter()
+    for by_unit in found:
+        holders.update(set().union(*by_unit.values()))
     holders = {g: n for g, n in holders.items() if n >= least_docs}
     in_clean = Counter()
     for us in per_clean:
         in_clean.update({g for u in us for g in grams(u) | {u} if g in holders})
     ratio = (len(toxic) + 1) / (len(clean) + 1)
     good = {g for g, n in holders.items() if n > 10 * ratio * in_clean[g]}
-    left, chosen = [gs & good for gs in found], []
-    tally = Counter(g for gs in left for g in gs)
-    covered = Counter()
+    left = [{u: gs & good for u, gs in by_unit.items() if not gs.isdisjoint(good)} for by_unit in found]
+    tally, chosen = Counter(), []
+    for by_unit in left:
+        tally.update(set().union(*by_unit.values()))
     while tally and len(chosen) < most // 2:
         # equal counts: the longest string, which holds the others
         g = max(tally, key=lambda g: (tally[g] - 20 * in_clean[g] * ratio, len(g), g))
         if tally[g] < least_docs:
             break
         chosen.append(g)
-        for i, gs in enumerate(left):
-            if g in gs:
-                covered[i] += 1
-                # a document counts until three strings cover it, so that rarer insults are found too
-                drop = set(gs) if covered[i] >= 3 else {x for x in gs if x in g or g in x}
-                gs -= drop
-                for x in drop:
-                    tally[x] -= 1
+        for by_unit in left:
+            if spent := [u for u, gs in by_unit.items() if g in gs]:
+                # the rest of a unit that holds it tells nothing more
+                gone = set().union(*(by_unit.pop(u) for u in spent)).difference(*by_unit.values())
+                tally.subtract(gone)
+                for x in gone:
                     if tally[x] <= 0:
                         del tally[x]
+    trust = [max(0.0, 1 - 2.0 / holders[g] - 20 * ratio * in_clean[g] / holders[g]) for g in chosen]
     whole = Counter(u for us in per_toxic for u in us if any(g in u for g in chosen))
     for u, _ in whole.most_common(most // 4):
         if u not in chosen and len(u) <= WINDOW:
@@ -211,7 +224,7 @@ def choose_landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]],
     for u, _ in seen.most_common(2000)[:: max(1, 2000 // (most - len(chosen)))]:
         if len(u) >= 3 and u not in chosen and len(chosen) < most:
             chosen.append(u)
-    return chosen
+    return chosen, trust + [0.0] * (len(chosen) - len(trust))
 
 
 def train(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -233,16 +246,11 @@ def train(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> n
     return w
 
 
-def spaced(unit: str, rng: np.random.Generator) -> list[str]:
-    """A unit with one and with two characters inserted, as insults are written to evade word lists."""
-    out, letters = [], "xqzaeiou0123456789"
-    for n in (1, 2):
-        s = unit
-        for _ in range(n):
-            at = int(rng.integers(1, max(2, len(s))))
-            s = s[:at] + letters[int(rng.integers(len(letters)))] + s[at:]
-        out.append(s[:WINDOW])
-    return out
+def spaced(unit: str, rng: np.random.Generator) -> str:
+    """A unit with one character inserted, as insults are written to evade word lists."""
+    letters = "xqzaeiou0123456789"
+    at = int(rng.integers(1, len(unit)))
+    return (unit[:at] + letters[int(rng.integers(len(letters)))] + unit[at:])[:WINDOW]
 
 
 class Model:
@@ -250,11 +258,11 @@ class Model:
 
     def __init__(self, toxic: list[str], clean: list[str], landmarks: int = 64, rounds: int = 3, seed: int = 7):
         self.kernel, self.share = None, len(toxic) / max(1, len(toxic) + len(clean))
-        bags = [[sentences(t) for t in texts] for texts in (toxic, clean)]
+        bags = [unlike([sentences(t) for t in texts]) for texts in (toxic, clean)]
         if not any(bags[0]) or not any(bags[1]):
             return
         rng = np.random.default_rng(seed)
-        marks = choose_landmarks(*bags, landmarks)
+        marks, trust = choose_landmarks(*bags, landmarks)
         kernel = Kernel(marks)
         own = kernel.features(marks).astype(np.float64)
         values, vectors = np.linalg.eigh((own + own.T) / 2)
@@ -264,21 +272,24 @@ class Model:
         place = {u: i for i, u in enumerate(distinct)}
         x = np.vstack([kernel.features(distinct[i : i + UNITS_AT_ONCE]) for i in range(0, len(distinct), UNITS_AT_ONCE)]) @ whiten
         docs = [[np.array(sorted({place[u] for s in d for u in s}), dtype=np.int64) for d in kind] for kind in bags]
-        # to begin with, the strongest sentence is the one closest to a string of the toxic documents
-        strength = kernel.values(distinct, np.vstack([(kernel.weights / np.maximum(kernel.own, 1e-9).astype(np.float32))])[:, : max(1, len(marks) // 2)]).max(axis=1)
+        # to begin with, strength is likeness to a landmark, as far as the documents support that one
+        strength = (kernel.features(distinct) * np.array(trust, dtype=np.float32)).max(axis=1)
+        in_clean = np.zeros(len(distinct), dtype=bool)
+        in_clean[np.unique(np.concatenate(docs[1]))] = True
+        level = 0.6
         for _ in range(rounds):
-            positive = sorted({int(d[strength[d].argmax()]) for d in docs[0] if len(d)})
+            # the strongest sentences of a toxic document, of which clean documents hold none
+            strong = [d[(strength[d] >= level) & ~in_clean[d]] for d in docs[0]]
+            best = [d[~in_clean[d]] for d in docs[0]]
+            positive = np.unique(np.concatenate([*strong, *[d[strength[d].argmax()][None] for d in best if len(d)]]))
             hard = [d[np.argsort(strength[d])[-3:]] for d in docs[1] if len(d)]
-            easy = rng.choice(np.unique(np.concatenate(docs[1])), size=10_000)
-            negative = np.unique(np.concatenate([*hard, easy]))
-            in_clean = set(np.concatenate([d for d in docs[1]]).tolist())
-            positive = [p for p in positive if p not in in_clean] or positive
-            gapped = [s for p in positive for s in spaced(distinct[p], rng)]
+            negative = np.unique(np.concatenate([*hard, rng.choice(np.flatnonzero(in_clean), size=10_000)]))
+            gapped = [spaced(distinct[p], rng) for p in positive if len(distinct[p]) > 4]
             xs = np.vstack([x[positive], kernel.features(gapped) @ whiten, x[negative]])
             y = np.concatenate([np.ones(len(positive) + len(gapped)), -np.ones(len(negative))])
-            cost = np.where(y > 0, 50.0 / (3 * len(positive)), 50.0 / len(negative)) * 20
+            cost = np.concatenate([np.full(len(positive), COSTS[0]), np.full(len(gapped), COSTS[1]), np.full(len(negative), COSTS[2])])
             w = train(xs, y, cost)
-            strength = x @ w[:-1] + w[-1]
+            strength, level = x @ w[:-1] + w[-1], 0.5
         self.kernel, self.bias = kernel, float(w[-1])
         self.table = np.ascontiguousarray((kernel.weights / np.maximum(kernel.own, 1e-9)) @ (whiten @ w[:-1]), dtype=np.float32)
         tops = [np.array([strength[d].max() if len(d) else self.bias for d in kind]) for kind in docs]
