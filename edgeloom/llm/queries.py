@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import decontaminate, digest, langid, mixing, simhash, tokens, toxicity
+from edgeloom.llm import decontaminate, digest, langid, lines, mixing, simhash, spans, tokens, toxicity, warc
 from edgeloom.llm.common import table, workdir
 
 #: Default of the tokenizer parameter: a name of the installed public vocabularies.
@@ -21,6 +21,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str, tokenizer_path: str | Non
     return tokens.digest(spark, path)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workdir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +35,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.report(table(spark, sf_dir, "documents"))
+
+
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -47,8 +61,11 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op5_sentence_spans": op5_sentence_spans,
+    "op6_site_lines": op6_site_lines,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
