@@ -1,0 +1 @@
+"""Reserved: graphs are built from finished scans, so no operator here keeps streaming state."""
