@@ -42,7 +42,7 @@ def lines_of(text: Column) -> Column:
     return F.array_remove(F.split(F.trim(text), "\n"), "")
 
 
-def boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = 0.1, least_pages: int = 20) -> DataFrame:
     """(host, drop): the hashes of each host's boilerplate lines, from (host, text)."""
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
     line = pages.select("host", F.explode(F.array_distinct(lines_of(F.col("text")))).alias("line"))
@@ -52,7 +52,7 @@ def boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5) -> D
     return common.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
 
 
-def drop_lines(pages: DataFrame, ratio: float = 0.3, least_pages: int = 5, url_column: str = "url", html_column: str = "html") -> DataFrame:
+def drop_lines(pages: DataFrame, ratio: float = 0.1, least_pages: int = 20, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``pages`` without its html, plus host, n_lines, n_dropped and clean_text."""
     added = ("host", "n_lines", "n_dropped", "clean_text")
     kept = [c for c in pages.columns if c != html_column and c not in added]
