@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators import kernels
 from edgeloom.operators.reach import KERNEL_EDGES, _by_rounds, fits, shipped
+from edgeloom.storage import materialize
 
 SCHEMA = "group long, chain array<string>"
 _ARROW = pa.schema([("group", pa.int64()), ("chain", pa.list_(pa.string()))])
@@ -49,7 +50,7 @@ def find_chains(imports: DataFrame, roles: DataFrame, every: bool = True, strate
             return _rows(key[0].as_py(), _search(kernels.Search(*graph(), *_sets(table)), every))
 
         return roles.groupBy("group").applyInArrow(run, SCHEMA)
-    edges = edges_between(imports, roles)
+    edges = materialize(edges_between(imports, roles), "between")
 
     def paired(key, table, found):
         out, into = kernels.adjacency(zip(found.column("importer").to_pylist(), found.column("imported").to_pylist()))
