@@ -32,7 +32,7 @@ def _statements(nodes: list[ast.stmt], guarded: bool):
             continue
         yield node, state[0]
         inner = []
-        for field in ("body", "orelse", "handlers", "finalbody", "cases"):
+        for field in ("body", "handlers", "cases", "orelse", "finalbody"):
             for x in getattr(node, field, None) or []:
                 # ``elif`` is an If in ``orelse`` at its parent's column: its test is no guard
                 if isinstance(node, ast.If) and field == "orelse" and isinstance(x, ast.If) and x.col_offset == node.col_offset and len(node.orelse) == 1:

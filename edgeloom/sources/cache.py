@@ -12,7 +12,8 @@ import logging
 import os
 import uuid
 
-from pyspark.errors import AnalysisException, PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def read(spark: SparkSession, cache_dir: str, packages: list[str]) -> DataFrame:
             if found.columns == COLUMNS:
                 found.limit(1).collect()
                 return found
-        except (AnalysisException, PySparkException, OSError) as e:
+        except (PySparkException, Py4JJavaError, OSError) as e:
             logger.warning("could not use the cache at %s: %s", path, type(e).__name__)
     return spark.createDataFrame([], SCHEMA)
 
