@@ -54,21 +54,19 @@ def _probe(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     return found.where("k is not null or coalesce(_pos, 0) = 0")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_column: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
-    """``docs`` without its text, plus n_words, n_hit, item_ids (sorted strings) and spans (start, length in words).
+def _scan(docs: DataFrame, benchmark: DataFrame, n: int, text_column: str, kept: list[str], most_windows: int) -> DataFrame:
+    """(_kept, n_words, n_hit, item_ids, spans), the columns ``kept`` in one struct, apart from all names used here.
 
     The hits of a document meet in one row; they are no more than its words
     times the window sizes, so no group grows with the corpus.
     """
     windows = materialize(benchmark_windows(benchmark, n), "windows")
     sizes, count = windows.agg(F.sort_array(F.collect_set("k")), F.count(F.lit(1))).first()
-    kept = [c for c in docs.columns if c != text_column]
-    w = words(F.col(text_column))
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("_")).alias("_kept"), w.alias("_w"))
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("_")).alias("_kept"), words(F.col(text_column)).alias("_w"))
     base = base.withColumn("_n", F.size("_w"))
     if not count:
         none = F.array().cast("array<struct<start:int,length:int>>")
-        return base.select(*_unpack(kept), F.col("_n").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), none.alias("spans"))
+        return base.select("_kept", F.col("_n").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), none.alias("spans"))
     blocks = -(-count // most_windows)
     if blocks > 1:  # rows need one number in every block's scan
         base = materialize(base, "words")
@@ -82,33 +80,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_column: str = "
     covered = """aggregate(spans, named_struct('upto', 0, 'sum', 0),
         (a, s) -> named_struct('upto', greatest(a.upto, s.start + s.length), 'sum', a.sum + greatest(0, s.start + s.length - greatest(a.upto, s.start))),
         a -> cast(a.sum as long))"""
-    return one.select(*_unpack(kept), F.col("_n").cast("long").alias("n_words"), F.expr(covered).alias("n_hit"), "item_ids", "spans")
+    return one.select("_kept", F.col("_n").cast("long").alias("n_words"), F.expr(covered).alias("n_hit"), "item_ids", "spans")
 
 
-def _unpack(kept: list[str]) -> list[Column]:
-    return [F.col("_kept").getField(c).alias(c) for c in kept]
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, text_column: str = "text", most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """``docs`` without its text, plus n_words, n_hit, item_ids (sorted strings) and spans (start, length in words)."""
+    kept = [c for c in docs.columns if c.lower() not in (text_column.lower(), "n_words", "n_hit", "item_ids", "spans")]
+    return _scan(docs, benchmark, n, text_column, kept, most_windows).select(*[F.col("_kept").getField(c).alias(c) for c in kept], "n_words", "n_hit", "item_ids", "spans")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least_items: int = 2, text_column: str = "text", remove: str = "documents") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least_items: int = 2, text_column: str = "text", remove: str = "documents", most_windows: int = MOST_WINDOWS) -> DataFrame:
     """Documents without contamination.
 
     ``remove="documents"`` drops documents with windows of ``least_items`` or
     more items.  ``remove="spans"`` keeps every document and cuts the hit words
-    (with the separators between them) out of its text.
+    (with the separators before them) out of its text.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    held = docs.withColumn("_text", F.col(text_column)) if text_column in docs.columns else docs
-    got = scan(held, benchmark, n, text_column)
+    got, of = _scan(docs, benchmark, n, text_column, docs.columns, most_windows), F.col("_kept").getField
     if remove == "documents":
-        return got.where(F.size("item_ids") < least_items).select(*[F.col("_text").alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+        return got.where(F.size("item_ids") < least_items).select(*[of(c).alias(c) for c in docs.columns])
     # raw words, and what stands before each of them; the last has the tail after it
     raw = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    got = got.withColumn("_raw", F.regexp_extract_all("_text", F.lit(f"({raw})"), F.lit(1)))
-    tail = F.regexp_extract("_text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
+    got = got.withColumn("_raw", F.regexp_extract_all(of(text_column), F.lit(f"({raw})"), F.lit(1)))
+    tail = F.regexp_extract(of(text_column), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
     keep = F.expr("filter(_raw, (x, i) -> not exists(spans, s -> i >= s.start and i < s.start + s.length))")
-    text = F.when(F.size("spans") == 0, F.col("_text")).otherwise(F.concat(F.array_join(keep, ""), tail))
-    return got.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.size("spans") == 0, of(text_column)).otherwise(F.concat(F.array_join(keep, ""), tail))
+    return got.select(*[(text if c == text_column else of(c)).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 8, least_items: int = 2) -> DataFrame:

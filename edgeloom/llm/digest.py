@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_bounds, record_batch, small_batches
+from edgeloom.llm.common import id_bounds, record_batch, small_batches, spare
 
 BUCKETS = 128
 #: Places of the three bytes in a window of five, and odd multipliers that mix them.
@@ -87,13 +87,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def digests(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` without its text, plus ``fingerprint``: no shuffle."""
     kept = [c for c in docs.columns if c not in (text_column, "fingerprint")]
+    text = spare(docs, "_text")[0]
 
     def run(batches):
         for batch in small_batches(batches):
             made = [text_of(codes((t or "").encode())) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.string())], names=[*batch.schema.names[:-1], "fingerprint"])
 
-    data = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias("_text"))
+    data = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias(text))
     return data.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias("fingerprint")).schema)
 
 

@@ -128,8 +128,16 @@ def allot(classes: DataFrame, state: DataFrame, most: int = MOST, touches: int =
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (0 to ``most``)."""
-    rest = docs.drop("size", "source_size", "target", "copies")
-    keyed = rest.withColumns({"_key": source_key(F.col(source_column)), "size": size_of(F.col(text_column)), "_hash": F.xxhash64(F.col(id_column), F.col(text_column))})
+    added = ("size", "source_size", "target", "copies")
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
+    return _mixed(docs, id_column, text_column, source_column, share, most, weights).select(*kept, *added)
+
+
+def _mixed(docs: DataFrame, id_column: str, text_column: str, source_column: str, share: float, most: int, weights: tuple) -> DataFrame:
+    """(row, size, source_size, target, copies), the row's own columns in one struct, apart from all names used here."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    of = F.col("row").getField
+    keyed = rows.select("row", source_key(of(source_column)).alias("_key"), size_of(of(text_column)).alias("size"), F.xxhash64(of(id_column), of(text_column)).alias("_hash"), of(id_column).alias("_id"))
     keyed = keyed.withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
     buckets = materialize(keyed.groupBy("_key", "size", "_salt").agg(F.count(F.lit(1)).alias("m")), "buckets")
     classes = materialize(buckets.groupBy("_key", "size").agg(F.sum("m").alias("n")), "histogram")
@@ -141,16 +149,16 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     dealt = buckets.join(shares, ["_key", "size"], "left").withColumns({"n": F.coalesce("n", F.lit(1)), "k": F.coalesce("k", F.lit(0))}).withColumn("_upto", F.sum("m").over(run))
     dealt = dealt.withColumn("_k", F.expr("(k * _upto) div n - (k * (_upto - m)) div n")).join(sources.select("_key", "source_size", "target"), "_key")
     dealt = materialize(dealt.select("_key", "size", "_salt", "m", "_k", "source_size", "target"), "dealt")
-    place = F.row_number().over(Window.partitionBy("_key", "size", "_salt").orderBy("_hash", id_column))
+    place = F.row_number().over(Window.partitionBy("_key", "size", "_salt").orderBy("_hash", "_id"))
     ranked = keyed.join(dealt, ["_key", "size", "_salt"]).withColumn("_place", place)
     copies = F.expr("cast(_k div m + if(_place <= _k % m, 1, 0) as int)")
-    return ranked.select(*[F.col(f"`{c}`") for c in rest.columns], "size", "source_size", "target", copies.alias("copies"))
+    return ranked.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
+def take(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
     """The mix itself: each document as often as its copies say."""
-    mixed = mix(docs, **options)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = _mixed(docs, id_column, text_column, source_column, share, most, weights)
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

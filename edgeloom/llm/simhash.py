@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialize, small_batches
+from edgeloom.llm.common import materialize, small_batches, spare
 
 #: Seed of the shingle hash (fixed by the contract).
 SEED = 42
@@ -52,7 +52,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text_column: str = "text", shingle: int = 3) -> DataFrame:
     """``docs`` without its text, plus ``simhash`` (the 64 bits as a signed long)."""
-    kept = [c for c in docs.columns if c != text_column]
+    kept = [c for c in docs.columns if c not in (text_column, "simhash")]
+    text = spare(docs, "_text")[0]
 
     def run(batches):
         for batch in small_batches(batches):
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, text_column: str = "text", shingle: int = 3) -
             made = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], names=[*batch.schema.names[:-1], "simhash"])
 
-    data = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias("_text"))
+    data = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias(text))
     return data.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("simhash")).schema)
 
 
@@ -150,14 +151,15 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
     """One document of each component: that with the least id (null ids last, then the least text hash)."""
-    tagged = docs.withColumn("_hash", F.xxhash64(F.col(text_column)))
-    light = tagged.select(id_column, "_hash", text_column)
+    mark, other, kept_mark = spare(docs, "_hash", "_id", "_kept")
+    tagged = docs.withColumn(mark, F.xxhash64(F.col(text_column)))
+    light = tagged.select(id_column, F.col(mark).alias("_hash"), text_column)
     rows = grouped(light, id_column, text_column, shingle, distance, blocks)
     first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("_hash").alias("hash"))).alias("k")
     # components of rows that have no id at all are told apart by their print
     kept = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("simhash"))).agg(first).select("k.id", "k.hash")
-    some = tagged.join(kept.select(F.col("id").alias("_id"), F.col("hash").alias("_kept")).distinct(), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
-    return some.dropDuplicates([id_column, "_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    some = tagged.join(kept.select(F.col("id").alias(other), F.col("hash").alias(kept_mark)).distinct(), F.col(id_column).eqNullSafe(F.col(other)) & (F.col(mark) == F.col(kept_mark)), "left_semi")
+    return some.dropDuplicates([id_column, mark]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialize, record_batch, small_batches
+from edgeloom.llm.common import materialize, record_batch, small_batches, spare
 
 END = re.compile(r"([.!?]+ +|\n+)")
 SPACE = re.compile(r"[ \t\n\r\f\x0b]+")
@@ -89,9 +89,10 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the text cut, plus n_sentences, n_removed and removed (start, length of each cut, in sentences)."""
     rest = docs.drop("n_sentences", "n_removed", "removed")
-    found = repeated(docs, id_column, text_column, least_words).withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_hash")
-    keyed = rest.withColumn("_id", F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))).withColumn("_hash", F.xxhash64(text_column))
-    met = keyed.join(found, ["_id", "_hash"], "left").drop("_id", "_hash")
+    i, h, s = spare(docs, "_id", "_hash", "_spans")
+    found = repeated(docs, id_column, text_column, least_words).toDF(i, h, s)
+    keyed = rest.withColumn(i, F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))).withColumn(h, F.xxhash64(text_column))
+    met = keyed.join(found, [i, h], "left").drop(i, h)
     columns = list(rest.columns)
     at = columns.index(text_column)
 
@@ -118,7 +119,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     none = F.array().cast("array<struct<start:int,length:int>>")
     shape = rest.withColumns({"n_sentences": F.lit(None).cast("long"), "n_removed": F.lit(None).cast("long"), "removed": F.when(F.lit(False), none)})
-    return met.select(*[F.col(f"`{c}`") for c in columns], "spans").mapInArrow(run, shape.schema)
+    return met.select(*[F.col(f"`{c}`") for c in columns], s).mapInArrow(run, shape.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import Remembered, coded_tokens, held_out, learnable, record_batch, reduce_texts, small_batches
+from edgeloom.llm.common import Remembered, coded_tokens, held_out, learnable, reduce_texts, small_batches, spare
 
 #: Weight of a character that an occurrence spans.
 DECAY = 0.85
@@ -347,14 +347,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 _MEMOS: dict[int, Remembered] = {}
 
 
-def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1), each from its whole text."""
+def scored(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "toxicity") -> DataFrame:
+    """``docs`` with a score (0 to 1) of each whole text; a column of that name is replaced."""
     share = float(model.share)
     if model.kernel is None:
-        return docs.withColumn("toxicity", F.lit(share))
+        return docs.withColumn(score_column, F.lit(share))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
     key = shared._jbroadcast.id()
-    names = [c for c in docs.columns if c != "toxicity"]
+    names = [c for c in docs.columns if c.lower() != score_column.lower()]
     at = names.index(text_column)
 
     def run(batches):
@@ -372,15 +372,16 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text") -> DataFram
             for i in {int(np.searchsorted(places, p, "right")) - 1 for p in np.flatnonzero(single[:-2] & single[1:-1] & single[2:]).tolist()}:
                 if runs := APART.findall(texts[i].as_py().lower()):
                     best[i] = max(best[i], *model.margins(runs))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(best))], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(best))], names=[*batch.schema.names, score_column])
 
     data = docs.select(*[F.col(f"`{c}`") for c in names])
-    return data.mapInArrow(run, data.withColumn("toxicity", F.lit(0.0)).schema)
+    return data.mapInArrow(run, data.withColumn(score_column, F.lit(0.0)).schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """Documents that score below ``threshold``."""
-    got = scored(docs, fit(docs, labels, **options)).where(F.col("toxicity") < threshold)
+    score = spare(docs, "toxicity")[0]
+    got = scored(docs, fit(docs, labels, **options), score_column=score).where(F.col(score) < threshold)
     return got.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
