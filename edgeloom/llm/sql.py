@@ -42,7 +42,7 @@ OP6 = r"""
 with t as (select row_number() over () r, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) host,
   regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<!--.*?-->', ' ', 'g'),
     '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|table|tr|nav|article|section|header|footer|body|html|head|main|aside|pre|blockquote|hr)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') x from pages),
-l as (select r, page_id, host, list_filter(string_split(trim(regexp_replace(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' '), chr(10)), lambda y: y <> '') ls from t),
+l as (select r, page_id, host, list_filter(string_split(regexp_replace(trim(x, ' '), '[ \t\r\f\x0B]*\n\s*', chr(10), 'g'), chr(10)), lambda y: y <> '') ls from t),
 total as (select host, count(*) pages from l group by host),
 seen as (select host, line, count(*) n from (select distinct r, host, unnest(ls) line from l) group by 1, 2),
 bad as (select host, line from seen join total using (host) where pages >= 20 and n > 0.1 * pages),
