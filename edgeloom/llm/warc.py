@@ -81,8 +81,11 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
     # the sample's records are cut: the dictionary is learned from the bytes that records have in common
-    sample = rows.select("page_id", "url", F.substring("payload", 1, sample_bytes).alias("payload"), "digest", F.xxhash64("page_id", "url").alias("h")).orderBy("h", "page_id", "digest").limit(samples)
-    dictionary = train([record(r.page_id, r.url, bytes(r.payload), r.digest, None, date) for r in sample.collect()], dictionary_bytes)
+    keep = max(1, pages.count() // (2 * samples))  # about twice the wanted number passes, whatever the input
+    picked = rows.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(keep)) == 0)
+    sample = picked.select("page_id", "url", F.substring("payload", 1, sample_bytes).alias("payload"), "digest").limit(samples)
+    found = sorted(sample.collect(), key=lambda r: (r.digest, str(r.page_id), str(r.url)))
+    dictionary = train([record(r.page_id, r.url, bytes(r.payload), r.digest, None, date) for r in found], dictionary_bytes)
     groups = rows.groupBy("digest", F.octet_length("payload").alias("bytes")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
     groups = materialize(groups, "payloads")
     total = groups.agg(F.sum(F.col("bytes") * F.col("n"))).first()[0] or 0
