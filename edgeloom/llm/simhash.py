@@ -94,14 +94,15 @@ def links(prints: DataFrame, distance: int = 2, blocks: int = 5, hot_key: int =
         return pairs.distinct()
     mask = F.element_at(F.array(*[F.lit(m) for m in each]), F.col("c") + 1)
     bit = "shiftleft(1L, i)"
+    free = f"filter(sequence(0, 63), i -> (m & {bit}) = 0)"
     members = keyed.join(hot, ["c", "key"], "left_semi").withColumn("m", mask)
     if distance == 2:
-        at = F.expr(f"concat(array(simhash), transform(filter(sequence(0, 63), i -> (m & {bit}) = 0), i -> simhash ^ {bit}))")
-    else:  # within one bit of each other: one of the two values is the common one
-        at = F.expr(f"concat(array(simhash), transform(filter(sequence(0, 63), i -> (m & {bit}) = 0), i -> simhash & ~{bit}))")
-    spread = members.select("simhash", F.explode(at).alias("v")).distinct()
-    least = spread.groupBy("v").agg(F.min("simhash").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = spread.join(least, "v").where("least < simhash").select(F.col("least").alias("a"), F.col("simhash").alias("b"))
+        at = f"concat(array(named_struct('i', -1, 'v', simhash)), transform({free}, i -> named_struct('i', -1, 'v', simhash ^ {bit})))"
+    else:  # two that differ in bit i alone are equal without it
+        at = f"transform({free}, i -> named_struct('i', i, 'v', simhash & ~{bit}))"
+    spread = members.select("simhash", F.inline(F.expr(at))).distinct()
+    least = spread.groupBy("i", "v").agg(F.min("simhash").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = spread.join(least, ["i", "v"]).where("least < simhash").select(F.col("least").alias("a"), F.col("simhash").alias("b"))
     return pairs.unionAll(stars).distinct()
 
 
