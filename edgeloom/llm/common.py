@@ -69,8 +69,8 @@ def held_out(doc_id: Column) -> Column:
     return ~learnable(doc_id)
 
 
-def small_batches(batches, size_column: str | None = None, most: int = CHUNK_BYTES):
-    """Cut Arrow batches so that a worker holds few bytes of text at a time."""
+def small_batches(batches, most: int = CHUNK_BYTES):
+    """Cut Arrow batches so that a worker holds few bytes of text at a time, and give back what the last cut needed."""
     for batch in batches:
         rows = batch.num_rows
         if not rows:
@@ -78,6 +78,7 @@ def small_batches(batches, size_column: str | None = None, most: int = CHUNK_BYT
         step = max(1, int(rows * most / max(batch.nbytes, 1)))
         for i in range(0, rows, step):
             yield batch.slice(i, step)
+            pa.default_memory_pool().release_unused()
 
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -103,31 +104,50 @@ def id_bounds(docs: DataFrame, id_column: str, rows_per_part: int, most_parts: i
     return sorted((cuts - {top}) | {top})
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches ``starts``, ``sizes`` of ``flat``, one after another."""
+    upto = np.cumsum(sizes, dtype=np.int64)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64  # half the memory where it is enough
+    places = np.arange(total, dtype=kind)
+    places += np.repeat((starts - (upto - sizes)).astype(kind), sizes)
+    return flat[places]
+
+
 class Remembered:
-    """Values of distinct words, made when first met, in two generations of bounded size.
+    """Rows of numbers for distinct words, made when a word is first met.
 
-    Words met again move to the young generation; when it is full the old one
-    goes.  One instance lives as long as its worker process.
+    ``make`` takes a list of words and gives all their numbers in turn and how
+    many each has.  Words and numbers are held in flat arrays, about 40 bytes a
+    word.  Of more than ``most`` words, the half used longest ago goes.  One
+    instance lives as long as its worker process.
     """
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.young, self.old = make, most, {}, {}
-
-    def lookup(self, words: list[str]) -> list:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        found = list(map(self.young.get, words))
-        missing = [i for i, x in enumerate(found) if x is None]
-        new = []
-        for i in missing:
-            if (x := self.old.get(words[i])) is None:
-                new.append(words[i])
-            else:
-                self.young[words[i]] = x
-        self.young.update(zip(new, self.make(new)) if new else ())
-        for i in missing:
-            found[i] = self.young[words[i]]
-        return found
+    def __init__(self, make, dtype, most: int):
+        self.make, self.most, self.tick = make, most, 0
+        self.words = pa.array([], pa.string())
+        self.flat, self.starts, self.sizes, self.used = np.array([], dtype), *(np.array([], np.int32) for _ in range(3))
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, starts, sizes) of distinct words."""
+        self.tick += 1
+        if len(self.words) > self.most:
+            keep = np.flatnonzero(self.used > np.median(self.used))
+            self.words, self.flat = self.words.take(pa.array(keep)), gather(self.flat, self.starts[keep], self.sizes[keep])
+            self.sizes, self.used = self.sizes[keep], self.used[keep]
+            self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).copy()
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = words.take(pa.array(missing))
+            flat, sizes = self.make(new.to_pylist())
+            at[missing] = len(self.words) + np.arange(len(missing))
+            starts = len(self.flat) + np.cumsum(sizes) - sizes
+            self.words = pa.concat_arrays([self.words, new])
+            self.flat, self.starts, self.sizes = (np.concatenate(x) for x in ((self.flat, flat), (self.starts, starts.astype(np.int32)), (self.sizes, sizes.astype(np.int32))))
+            self.used = np.concatenate([self.used, np.zeros(len(missing), np.int32)])
+        self.used[at] = self.tick
+        return self.flat, self.starts[at], self.sizes[at]
 
 
 def coded_tokens(texts: pa.Array, lower: bool = False):
@@ -140,7 +160,7 @@ def coded_tokens(texts: pa.Array, lower: bool = False):
     cut = pc.utf8_split_whitespace(pc.utf8_lower(texts) if lower else texts)
     coded = cut.flatten().dictionary_encode()
     places = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))))
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), places
+    return coded.dictionary, coded.indices.to_numpy(), places
 
 
 def reduce_texts(values: np.ndarray, places: np.ndarray, how, empty) -> np.ndarray:

@@ -5,7 +5,8 @@ a new text, the longest stretch that the labelled text holds.  A text is parsed
 into such stretches (phrases), never across a word's end, so the phrases of a
 word are a fixed number for each language and a worker counts them once.  A
 language's score is its phrases times the logarithm of its automaton's length,
-over the letters parsed: the cross-entropy in bits a letter.  The lowest wins.
+over the letters parsed: the cross-entropy in bits a letter.  Marks at both
+ends of every word are parsed with it.  The lowest wins.
 
 The automata are fitted on a bounded sample: ``docs_per_language`` learnable
 documents of each language, of which ``letters_per_language`` letters of distinct
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 from edgeloom.llm.common import Remembered, coded_tokens, held_out, learnable, record_batch, reduce_texts, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Distinct tokens whose phrase counts a worker remembers before it starts afresh.
-MOST_REMEMBERED = 300_000
+#: Distinct tokens whose phrase counts a worker remembers.
+MOST_REMEMBERED = 1_500_000
 
 
 class Automaton:
-    """Suffix automaton of words, each ended by a mark that no word holds.
+    """Suffix automaton of words: it holds exactly their parts.
 
     Edges lie in one dict keyed by state and character; after ``freeze`` that and
     the number of letters are all that is kept.
@@ -102,6 +103,11 @@ def phrases(edges: dict[int, int], word: str) -> int:
     return count + (1 if state else 0)
 
 
+def marked(word: str) -> str:
+    """A word between marks of its ends, which no word holds: a whole word matches where it is one, not a part of one."""
+    return f"^{word}$"
+
+
 class Model:
     """Frozen automata by language, with the weight of a phrase in bits."""
 
@@ -115,23 +121,22 @@ class Model:
             for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
                 if automaton.letters >= letters_per_language:
                     break
-                automaton.add(word)
+                automaton.add(marked(word))
             if automaton.letters:
                 self.languages.append(lang)
                 self.edges.append(automaton.freeze())
                 self.bits.append(math.log2(automaton.letters + 1))
 
-    def count(self, tokens: list[str]) -> list[bytes]:
-        """For each token its letters, then its phrases for each language, as 32-bit integers."""
-        out = []
-        for token in tokens:
-            row = array("i", bytes(4 * (len(self.edges) + 1)))
+    def count(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each token its letters, then its phrases for each language; and how many numbers that is."""
+        width = len(self.edges) + 1
+        out = array("i", bytes(4 * width * len(tokens)))
+        for at, token in zip(range(0, len(out), width), tokens):
             for word in WORD.findall(token.lower()):
-                row[0] += len(word)
-                for i, edges in enumerate(self.edges):
-                    row[i + 1] += phrases(edges, word)
-            out.append(row.tobytes())
-        return out
+                out[at] += len(word)
+                for i, edges in enumerate(self.edges, at + 1):
+                    out[i] += phrases(edges, marked(word))
+        return np.frombuffer(out, dtype=np.int32), np.full(len(tokens), width)
 
     def decide(self, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
         """For rows of summed counts: the language, and how far its bits lie below the next one's (0 to 1)."""
@@ -153,7 +158,7 @@ class Model:
 _MEMOS: dict[int, Remembered] = {}
 
 
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_language: int = 400, letters_per_language: int = 60_000, most_languages: int = 200) -> Model:
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_language: int = 400, letters_per_language: int = 120_000, most_languages: int = 200) -> Model:
     """Fit on a sample by hash of the learnable rows: at most ``docs_per_language`` texts a language, each of at most 20,000 characters here."""
     good = docs.where(learnable(F.col(id_column)) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     counts = docs.where(learnable(F.col(id_column)) & F.col(lang_column).isNotNull()).groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(most_languages).collect()
@@ -182,10 +187,11 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
         model = shared.value
         if key not in _MEMOS:
             _MEMOS.clear()
-            _MEMOS[key] = Remembered(model.count, MOST_REMEMBERED)
+            _MEMOS[key] = Remembered(model.count, np.int32, MOST_REMEMBERED)
         for batch in small_batches(batches):
             tokens, codes, places = coded_tokens(batch.column(1))
-            each = np.frombuffer(b"".join(_MEMOS[key].lookup(tokens)), dtype=np.int32).reshape(-1, len(model.edges) + 1)
+            flat, starts, _ = _MEMOS[key].lookup(tokens)
+            each = flat.reshape(-1, len(model.edges) + 1)[starts // (len(model.edges) + 1)]
             sums = reduce_texts(each[codes].astype(np.int64), places, np.add, 0)
             langs, score = model.decide(sums)
             yield record_batch({"i": batch.column(0), "lang_pred": langs, "score": score}, schema)

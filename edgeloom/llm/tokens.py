@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.llm.common import Remembered, id_bounds, record_batch, small_batches
+from edgeloom.llm.common import Remembered, gather, id_bounds, record_batch, small_batches
 
-#: Distinct words whose ids a worker remembers in each of two generations.
-MOST_REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers.
+MOST_REMEMBERED = 1_000_000
 #: Text bytes encoded at a time.
 ENCODE_BYTES = 4 << 20
 #: Words in one call of the library.
@@ -51,7 +50,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), Remembered(self._new, MOST_REMEMBERED)
+        self.tokenizer, self.memo = Tokenizer.from_file(path), Remembered(self._new, np.int32, MOST_REMEMBERED)
         alone = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = alone(" \n ") == [] and alone("ab cd\nef") == alone("ab") + alone("cd") + alone("ef") and alone(" gh") == alone("gh")
         vocabulary = self.tokenizer.get_vocab()
@@ -66,24 +65,33 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _new(self, words: list[str]) -> list[bytes]:
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Let the library encode words; those of letters only go many to a call, as each ends with one marked id."""
-        plain, rest, found = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()], {}
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
         calls = [plain[i : i + WORDS_A_CALL] for i in range(0, len(plain), WORDS_A_CALL)]
-        for ws, e in zip(calls, self.tokenizer.encode_batch_fast([" ".join(ws) for ws in calls], add_special_tokens=False)):
+        sizes, found, order, rest = np.zeros(len(words), np.int64), [], [], [i for i, w in enumerate(words) if not w.isalpha()]
+        encode = self.tokenizer.encode_batch_fast
+        batches = (calls[i : i + 8] for i in range(0, len(calls), 8))  # the library's answers are many times their ids
+        for at, e in (x for b in batches for x in zip(b, encode([" ".join([words[i] for i in at]) for at in b], add_special_tokens=False))):
             ids = np.array(e.ids, dtype=np.int32)
-            stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(stops) != len(ws) or stops[-1] != 4 * len(ids):
-                rest += ws
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(at) or stops[-1] != len(ids):
+                rest += at
                 continue
-            data, at = ids.tobytes(), 0
-            for w, stop in zip(ws, stops.tolist()):
-                found[w] = data[at:stop]
-                at = stop
-        for i in range(0, len(rest), 20_000):
-            for w, e in zip(rest[i : i + 20_000], self.tokenizer.encode_batch_fast(rest[i : i + 20_000], add_special_tokens=False)):
-                found[w] = array("i", e.ids).tobytes()
-        return [found[w] for w in words]
+            sizes[at] = np.diff(stops, prepend=0)
+            found.append(ids)
+            order += at
+        for i in range(0, len(rest), 2_000):
+            part = rest[i : i + 2_000]
+            each = [e.ids for e in encode([words[j] for j in part], add_special_tokens=False)]
+            sizes[part] = list(map(len, each))
+            found.append(np.array([x for ids in each for x in ids], dtype=np.int32))
+            order += part
+        # back to the order of the words
+        flat, order = np.concatenate(found), np.array(order)
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return gather(flat, starts, sizes), sizes
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, an end id after each, and the number of ids of each."""
@@ -91,13 +99,11 @@ class Encoder:
         if self.by_word:
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
             coded = cut.flatten().dictionary_encode()
-            data = self.memo.lookup(coded.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
-            flat, codes = np.frombuffer(b"".join(data), dtype=np.int32), coded.indices.to_numpy()
+            flat, starts, sizes = self.memo.lookup(coded.dictionary)
+            codes = coded.indices.to_numpy()
             each = sizes[codes]
-            upto = np.concatenate(([0], np.cumsum(each)))
-            places = np.repeat((np.cumsum(sizes) - sizes)[codes] - upto[:-1], each) + np.arange(upto[-1])
-            ids, stops = flat[places], upto[np.cumsum(pc.list_value_length(cut).to_numpy())]
+            ids, upto = gather(flat, starts[codes], each), np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
+            stops = upto[np.cumsum(pc.list_value_length(cut).to_numpy())]
         else:
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             ids, stops = np.array([i for x in lists for i in x], dtype=np.int32), np.cumsum([len(x) for x in lists], dtype=np.int64)

@@ -33,6 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ DECAY = 0.85
 COSTS = (1.0, 1.0, 10.0)
 #: Longer units are taken in windows of this length that overlap by half.
 WINDOW = 24
-#: Tokens whose margins a worker remembers in each of two generations.
-MOST_REMEMBERED = 300_000
+#: Tokens whose margins a worker remembers.
+MOST_REMEMBERED = 2_000_000
 #: Units scored at a time.
 UNITS_AT_ONCE = 20_000
 PUNCTUATION = re.compile(r"[\W_]+")
@@ -295,13 +296,13 @@ class Model:
         tops = [np.array([strength[d].max() if len(d) else self.bias for d in kind]) for kind in docs]
         self.slope, self.shift = platt(*tops)
 
-    def margins(self, tokens: list[str]) -> list[float]:
+    def margins(self, tokens: list[str]) -> np.ndarray:
         """The margin of each lower-case token: that of its strongest unit."""
         parts = [units(t) for t in tokens]
         flat = [u for p in parts for u in p]
         got = np.concatenate([self.kernel.values(flat[i : i + UNITS_AT_ONCE], self.table) for i in range(0, len(flat), UNITS_AT_ONCE)]) + self.bias if flat else np.zeros(0)
         at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        return reduce_texts(got, at, np.maximum, self.bias).tolist()
+        return reduce_texts(got, at, np.maximum, self.bias)
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * (margin - self.shift), -60, 60)))
@@ -326,11 +327,12 @@ def platt(toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", docs_per_class: int = 1000, landmarks: int = 64) -> Model:
     """Fit on at most ``docs_per_class`` learnable labelled documents of each kind, the first by hash."""
     known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    place = F.xxhash64("doc_id")
-    picked = {}
-    for kind in (0, 1):
-        rows = known.where(F.col("toxic") == kind).orderBy(place, "doc_id").limit(2 * docs_per_class)
-        picked |= {r.doc_id: (kind, n) for n, r in enumerate(rows.collect())}
+    counts = {r.toxic: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    # a threshold for each kind lets about twice the wanted number pass, whatever the input
+    below = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(int((1 << 40) * min(1.0, 2 * docs_per_class / max(1, counts.get(k, 0))))))])
+    rows = known.where(F.col("toxic").isin(0, 1)).where(place < below[F.col("toxic")]).select("doc_id", "toxic", place.alias("p")).limit(8 * docs_per_class)
+    picked = {r.doc_id: (r.toxic, n) for n, r in enumerate(sorted(rows.collect(), key=lambda r: (r.p, r.doc_id)))}
     if not picked:
         return Model([], [])
     # at most four times docs_per_class ids
@@ -361,14 +363,15 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text", score_colum
         model = shared.value
         if key not in _MEMOS:
             _MEMOS.clear()
-            _MEMOS[key] = Remembered(model.margins, MOST_REMEMBERED)
+            _MEMOS[key] = Remembered(lambda words: (model.margins(words), np.ones(len(words), np.int64)), np.float64, MOST_REMEMBERED)
         memo = _MEMOS[key]
         for batch in small_batches(batches):
             texts = batch.column(at)
             tokens, codes, places = coded_tokens(texts, lower=True)
-            each = np.array(memo.lookup(tokens), dtype=np.float64)
+            flat, starts, _ = memo.lookup(tokens)
+            each = flat[starts]
             best = reduce_texts(each[codes], places, np.maximum, model.bias)
-            single = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))[codes] == 1
+            single = pc.equal(pc.utf8_length(tokens), 1).to_numpy(zero_copy_only=False)[codes]
             for i in {int(np.searchsorted(places, p, "right")) - 1 for p in np.flatnonzero(single[:-2] & single[1:-1] & single[2:]).tolist()}:
                 if runs := APART.findall(texts[i].as_py().lower()):
                     best[i] = max(best[i], *model.margins(runs))
