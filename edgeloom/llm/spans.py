@@ -30,7 +30,7 @@ from edgeloom.llm.common import materialize, record_batch, small_batches, spare
 
 END = re.compile(r"([.!?]+ +|\n+)")
 SPACE = re.compile(r"[ \t\n\r\f\x0b]+")
-LEAST_WORDS = 20
+LEAST_WORDS = 12
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 
@@ -124,4 +124,4 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def report(docs: DataFrame) -> DataFrame:
     got = dedup(docs.select("doc_id", "text"))
-    return got.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return got.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeated"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -31,12 +31,12 @@ with d as (select doc_id, list_filter(string_split(regexp_replace(replace(coales
 s as (select doc_id, i, s[i] piece, lower(trim(regexp_replace(s[i], '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ')) plain from (select doc_id, s, unnest(range(1, len(s) + 1)) i from d)),
 c as (select *, sum(case when plain = '' then 0 else len(plain) - len(replace(plain, ' ', '')) + 1 end) over (partition by doc_id order by i) upto,
   sum(case when plain = '' then 0 else len(plain) - len(replace(plain, ' ', '')) + 1 end) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) before from s),
-ends as (select a.doc_id, a.i, min(b.i) e from c a join c b on a.doc_id = b.doc_id and b.i > a.i and b.upto - coalesce(a.before, 0) >= 20 group by 1, 2),
+ends as (select a.doc_id, a.i, min(b.i) e from c a join c b on a.doc_id = b.doc_id and b.i > a.i and b.upto - coalesce(a.before, 0) >= 12 group by 1, 2),
 spans as (select x.doc_id, x.i, x.e, string_agg(c.plain, chr(10) order by c.i) body from ends x join c on c.doc_id = x.doc_id and c.i between x.i and x.e group by 1, 2, 3),
 later as (select doc_id, i, e from (select *, row_number() over (partition by body order by doc_id, i) n from spans) where n > 1),
 gone as (select distinct doc_id, unnest(range(i, e + 1)) i from later),
 kept as (select s.doc_id, count(*) n, count(gone.i) cut, string_agg(case when gone.i is null then piece else '' end, '' order by s.i) body from s left join gone on gone.doc_id = s.doc_id and gone.i = s.i group by 1)
-select d.doc_id, coalesce(n, 0)::bigint n_sentences, coalesce(cut, 0)::bigint n_removed, sha256(coalesce(body, '')) text_sha256 from d left join kept using (doc_id)"""
+select d.doc_id, coalesce(n, 0)::bigint n_sentences, coalesce(cut, 0)::bigint n_removed, coalesce(cut, 0) > 0 repeated, sha256(coalesce(body, '')) text_sha256 from d left join kept using (doc_id)"""
 
 OP6 = r"""
 with t as (select row_number() over () r, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) host,
