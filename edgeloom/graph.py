@@ -301,18 +301,22 @@ class ImportGraph:
         for c in containers or ():
             if not self.contains_module(c):
                 raise NoSuchContainer(f"Container {c} does not exist.")
-        tails = sorted({t for x in layers for t in Layer.of(x).module_tails})
-        for c in containers or [None]:
-            known = [n for n in (f"{c}.{t}" if c else t for t in tails) if self.contains_module(n)]
-            for a in known:
-                for b in known:
-                    if b.startswith(a + "."):
-                        raise ValueError("Modules have shared descendants.")
+        self._check_apart([Layer.of(x) for x in layers], containers or ())
         found: dict[tuple[str, str], set[Route]] = {}
         for r in self.find_illegal_dependencies_for_layers_df(layers, containers).collect():
             found.setdefault((r.importer, r.imported), set()).add(Route.new(r.heads, r.tails, r.middle))
         return {PackageDependency(a, b, frozenset(routes)) for (a, b), routes in found.items()}
 
+    def _check_apart(self, levels: list[Layer], containers: Iterable[str]) -> None:
+        """No layer may lie in another that it may not import, or may not be imported by."""
+        placed = [(i, t, x.independent) for i, x in enumerate(levels) for t in sorted(x.module_tails)]
+        for i, outer, independent in placed:
+            for j, inner, _ in placed:
+                if inner.startswith(outer + ".") and (i != j or independent):
+                    for c in sorted(containers) or [None]:
+                        if all(self.contains_module(f"{c}.{t}" if c else t) for t in (outer, inner)):
+                            raise ValueError("Modules have shared descendants.")
+
     def nominate_cycle_breakers_df(self, package: str) -> DataFrame:
         return cycles.cycle_breakers(self.frames, package)
 
