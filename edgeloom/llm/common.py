@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.storage import materialize, workdir  # noqa: F401  (operators take them from here)
+
 #: A-Z and a-z: the only letters that the contracts lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Text bytes that a Python worker handles at a time.
@@ -21,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workdir(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one.  Only a session
-    without that setting (tests, ``local[*]``) gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="edgeloom-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage through a table in the shared folder.
-
-    The plan runs once, and a lost executor takes nothing with it: readers go
-    back to the written files.
-    """
-    path = workdir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Column names like those given that ``df`` does not have."""
     taken, out = {c.lower() for c in df.columns}, []
