@@ -11,6 +11,7 @@ from edgeloom.model import Layer
 from edgeloom.operators import hierarchy
 from edgeloom.operators.chains import find_chains
 from edgeloom.plans.frames import Frames
+from edgeloom.storage import materialize
 
 LEVELS = "container string, level int, module string, independent boolean, closed boolean"
 
@@ -85,6 +86,8 @@ def numbered(pairs: DataFrame) -> DataFrame:
 def illegal_routes(frames: Frames, levels: DataFrame, strategy: str = "auto") -> DataFrame:
     """(importer, imported, heads, middle, tails) of every illegal dependency."""
     known = present(levels, frames.modules)
-    pairs = numbered(permutations(known))
-    roles = pair_roles(frames, known, pairs)
-    return routes_of(frames, pairs, roles, find_chains(frames.imports, roles, strategy=strategy))
+    # each is read more than once below, and the searches must run once
+    pairs = materialize(numbered(permutations(known)), "pairs")
+    roles = materialize(pair_roles(frames, known, pairs), "roles")
+    chains = materialize(find_chains(frames.imports, roles, strategy=strategy), "chains")
+    return routes_of(frames, pairs, roles, chains)
