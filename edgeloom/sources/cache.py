@@ -12,8 +12,8 @@ import logging
 import os
 import uuid
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,29 +41,36 @@ def read(spark: SparkSession, cache_dir: str, packages: list[str]) -> DataFrame:
     path = _current(os.path.join(cache_dir, cache_name(packages)))
     if path:
         try:
-            found = spark.read.parquet(f"file://{os.path.abspath(path)}")
-            if found.columns == COLUMNS:
-                found.limit(1).collect()
-                return found
-        except (PySparkException, Py4JJavaError, OSError) as e:
+            found = pq.read_table(path)
+            if found.column_names == COLUMNS:
+                return spark.createDataFrame(found, SCHEMA)
+        except (pa.ArrowException, OSError) as e:
             logger.warning("could not use the cache at %s: %s", path, type(e).__name__)
     return spark.createDataFrame([], SCHEMA)
 
 
 def write(rows: DataFrame, cache_dir: str, packages: list[str]) -> None:
-    """Write a new version beside the old one, then point to it, so readers never see half of one."""
+    """Write a new version beside the old one, then point to it, so readers never see half of one.
+
+    The folder is the driver's own, as the packages are, so the driver writes:
+    a row for each import statement of the packages.
+    """
     folder = os.path.join(cache_dir, cache_name(packages))
     os.makedirs(folder, exist_ok=True)
+    # the signature is a fixed value of the cache folder convention
     markers = {".gitignore": "*\n", "CACHEDIR.TAG": "Signature: 8a477f597d28d172789f06886806bc55\n"}
     for name, text in markers.items():
         if not os.path.exists(path := os.path.join(cache_dir, name)):
             with open(path, "w") as f:
                 f.write(text)
-    version = uuid.uuid4().hex
-    rows.select(*COLUMNS).write.parquet(f"file://{os.path.abspath(os.path.join(folder, version))}")
+    version = f"{uuid.uuid4().hex}.parquet"
+    pq.write_table(rows.select(*COLUMNS).toArrow(), os.path.join(folder, version))
+    old = _current(folder)
     with open(os.path.join(folder, "current.new"), "w") as f:
         f.write(version)
     os.replace(os.path.join(folder, "current.new"), os.path.join(folder, "current"))
+    if old and os.path.exists(old):
+        os.remove(old)
 
 
 def misses(files: DataFrame, cached: DataFrame) -> DataFrame:
