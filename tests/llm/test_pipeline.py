@@ -55,3 +55,11 @@ def test_registered():
     known, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in known)] == [] and "pipeline" in known
     assert set(queries.QUERIES) <= set(known) and set(sql.ORACLES) <= set(oracles) <= set(known)
+
+
+def test_one_whole_item_is_caught(spark, tmp_path):
+    item = "what is the name of the river that runs through the old town"
+    spark.createDataFrame([(1, item), (2, "an item that no document holds in whole or in part")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"Before it. {item.capitalize()}? After it."), (2, "Nothing of the kind, only the old town and its river.")], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    assert [r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()] == [2]
