@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +16,9 @@ from edgeloom.storage import materialize, workdir  # noqa: F401  (operators take
 #: A-Z and a-z: the only letters that the contracts lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Text bytes that a Python worker handles at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes that an operator remembers in a Python worker.
+MEMO_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,38 +49,111 @@ def held_out(doc_id: Column) -> Column:
 
 
 def small_batches(batches, most: int = CHUNK_BYTES):
-    """Cut Arrow batches so that a worker holds few bytes of text at a time, and give back what the last cut needed."""
+    """Halve Arrow batches until each holds at most ``most`` bytes or one row, and give back what the last one needed."""
     for batch in batches:
-        rows = batch.num_rows
-        if not rows:
-            continue
-        step = max(1, int(rows * most / max(batch.nbytes, 1)))
-        for i in range(0, rows, step):
-            yield batch.slice(i, step)
-            pa.default_memory_pool().release_unused()
+        left = [batch]
+        while left:
+            b = left.pop()
+            if b.num_rows > 1 and b.nbytes > most:
+                half = b.num_rows // 2
+                left += [b.slice(half), b.slice(0, half)]
+            elif b.num_rows:
+                yield b
+                pa.default_memory_pool().release_unused()
 
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
 
 
-def id_bounds(docs: DataFrame, id_column: str, rows_per_part: int, most_parts: int = 50_000) -> list[int]:
-    """Existing ids that split ``docs`` into ranges of about ``rows_per_part`` rows; the last is the largest id.
+class Ranges:
+    """Ranges of rows in the order of id (nulls first, or last if ``descending``), then of the text's start and hash.
 
-    Range ``i`` is ``(bounds[i-1], bounds[i]]``.  The ids come from a sample by
-    hash, about twenty a range, so the driver holds at most twenty times
-    ``most_parts`` of them whatever the input.  Null ids belong to range 0.
+    ``starts`` are keys of existing rows, about one for every share of rows and
+    bytes; range ``i`` is ``[starts[i], starts[i + 1])``, and what stands below
+    the first belongs to range 0.  They come from a random sample of rows that
+    is in proportion to the number of ranges (``SAMPLED`` each), so the driver
+    holds some 200 bytes for each of those, whatever the rows hold.  A key that
+    stands there several times belongs to rows that are all alike and fill more
+    than a range; they are dealt over its ranges in turn.
     """
-    ids = docs.select(F.col(id_column).alias("i"))
-    rows, top = ids.agg(F.count(F.lit(1)), F.max("i")).first()
-    if top is None:
-        return []
-    parts = max(1, min(most_parts, -(-rows // rows_per_part)))
-    keep = max(1, rows // (20 * parts))
-    sample = ids.where("i is not null").where(F.pmod(F.xxhash64("i"), F.lit(keep)) == 0)
-    found = sorted(r.i for r in sample.limit(60 * parts).collect()) if parts > 1 else []
-    cuts = {found[k * len(found) // parts] for k in range(1, parts)} if found else set()
-    return sorted((cuts - {top}) | {top})
+
+    SAMPLED, PREFIX = 20, 64
+
+    def __init__(self, docs: DataFrame, id_column: str, text_column: str, rows_per_part: int, bytes_per_part: int, descending: bool = False):
+        self.descending = descending
+        rows = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t"))
+        light = rows.select("i", *self.ties(F.col("t")), F.coalesce(F.octet_length("t"), F.lit(0)).alias("b"))
+        found = light.agg(F.count(F.lit(1)), F.sum("b"), F.min(F.struct(*self.order(light)))).first()
+        count, size, first = found
+        self.starts: list[tuple] = []
+        if not count:
+            return
+        total = count / rows_per_part + size / bytes_per_part
+        parts = max(1, math.ceil(total))
+        self.starts = [self.key(first.id if first.known else None, first.p if first.text else None, first.h)]
+        if parts > 1:
+            some = light.where(F.rand(17) < F.lit(min(1.0, self.SAMPLED * parts / count))).select("i", "p", "h", "b").collect()
+            weighed = sorted((self.key(r.i, r.p, r.h), 1 / rows_per_part + r.b / bytes_per_part) for r in some)
+            total, upto, k = sum(w for _, w in weighed), 0.0, 1
+            for key, w in weighed:
+                if upto >= k * total / parts:
+                    self.starts.append(max(key, self.starts[0]))
+                    k = int(upto * parts / total) + 1
+                upto += w
+
+    def __len__(self) -> int:
+        return max(1, len(self.starts))
+
+    @classmethod
+    def ties(cls, text: Column) -> list[Column]:
+        """What orders rows of equal ids: the start of the text, then its hash."""
+        return [F.substring(text, 1, cls.PREFIX).alias("p"), F.xxhash64(text).alias("h")]
+
+    def order(self, rows: DataFrame) -> list[Column]:
+        """The order as columns that compare without nulls."""
+        known = F.col("i").isNotNull()
+        value = F.coalesce(F.col("i"), F.lit(0))
+        return [(~known if self.descending else known).alias("order"), (F.bitwise_not(value) if self.descending else value).alias("value"), F.col("p").isNotNull().alias("text"), F.coalesce("p", F.lit("")).alias("p"), F.col("h"), known.alias("known"), value.alias("id")]
+
+    def key(self, i: int | None, p: str | None, h: int) -> tuple:
+        return (i is None if self.descending else i is not None, (~i if self.descending else i) if i is not None else 0, p is not None, p or "", h)
+
+    def sorted(self, dealt: DataFrame, *before: str) -> DataFrame:
+        """Rows (i, t) in this order within partitions, after the columns ``before``."""
+        order = F.desc_nulls_last("i") if self.descending else F.asc_nulls_first("i")
+        return dealt.sortWithinPartitions(*before, order, *[c.asc_nulls_first() for c in (F.substring("t", 1, self.PREFIX), F.xxhash64("t"))])
+
+    def deal(self, ids: pa.Array, prefixes: pa.Array, hashes: pa.Array, turn: int = 0) -> tuple[np.ndarray, list[int]]:
+        """The range of each row, and the rows whose key is a range's start (in place of a search, one of each key)."""
+        out, firsts = np.zeros(len(ids), np.int32), {}
+        if not self.starts:
+            return out, []
+        bounds = [(~s[1] if self.descending else s[1]) for s in self.starts if s[0] != self.descending]
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        value = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        slow = ~known
+        if bounds:
+            edge = np.array(bounds, dtype=np.int64)
+            # unequal ids are told apart by a search; the others by their whole keys
+            if self.descending:
+                out[:] = np.maximum(np.searchsorted(~edge, ~value, "right") - 1, 0)
+            else:
+                out[:] = np.maximum(np.searchsorted(edge, value, "right") - 1 + (len(self.starts) - len(bounds)), 0)
+            slow |= np.isin(value, edge)
+        for at in np.flatnonzero(slow).tolist():
+            key = self.key(ids[at].as_py(), prefixes[at].as_py(), hashes[at].as_py())
+            low, high = bisect_left(self.starts, key), bisect_right(self.starts, key)
+            if low < high:
+                out[at] = low + (turn + at) % (high - low)
+                firsts.setdefault(key, at)
+            else:
+                out[at] = max(0, high - 1)
+        return out, list(firsts.values())
+
+    def ranges_from(self, key: tuple) -> range:
+        """The ranges that start with a key."""
+        return range(bisect_left(self.starts, key), bisect_right(self.starts, key))
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -92,36 +170,66 @@ class Remembered:
     """Rows of numbers for distinct words, made when a word is first met.
 
     ``make`` takes a list of words and gives all their numbers in turn and how
-    many each has.  Words and numbers are held in flat arrays, about 40 bytes a
-    word.  Of more than ``most`` words, the half used longest ago goes.  One
-    instance lives as long as its worker process.
+    many each has.  Two generations are kept: when the young one holds half of
+    ``most_bytes`` (or of ``most`` words) it becomes the old one, and a word found
+    in the old one moves to the young one; so what is used stays and the rest
+    goes.  Words of over ``LONG`` characters are made anew each time.
     """
 
-    def __init__(self, make, dtype, most: int):
-        self.make, self.most, self.tick = make, most, 0
-        self.words = pa.array([], pa.string())
-        self.flat, self.starts, self.sizes, self.used = np.array([], dtype), *(np.array([], np.int32) for _ in range(3))
+    #: Characters of a word that is kept at most, and bytes that a word takes besides its own.
+    LONG, OVERHEAD = 64, 200
+
+    def __init__(self, make, dtype, most: int = 1 << 62, most_bytes: int = MEMO_BYTES):
+        self.make, self.dtype, self.most, self.most_bytes = make, np.dtype(dtype), most, most_bytes
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
+
+    @property
+    def words(self) -> list[str]:
+        return [*self.young, *(w for w in self.old if w not in self.young)]
+
+    def _keep(self, word: str, held: bytes) -> None:
+        if len(word) > self.LONG:
+            return
+        self.young[word] = held
+        self.bytes += len(word) + len(held) + self.OVERHEAD
+        if 2 * self.bytes >= self.most_bytes or 2 * len(self.young) > self.most:
+            self.old, self.young, self.bytes = self.young, {}, 0
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, starts, sizes) of distinct words."""
-        self.tick += 1
-        if len(self.words) > self.most:
-            keep = np.flatnonzero(self.used > np.median(self.used))
-            self.words, self.flat = self.words.take(pa.array(keep)), gather(self.flat, self.starts[keep], self.sizes[keep])
-            self.sizes, self.used = self.sizes[keep], self.used[keep]
-            self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
-        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).copy()
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = words.take(pa.array(missing))
-            flat, sizes = self.make(new.to_pylist())
-            at[missing] = len(self.words) + np.arange(len(missing))
-            starts = len(self.flat) + np.cumsum(sizes) - sizes
-            self.words = pa.concat_arrays([self.words, new])
-            self.flat, self.starts, self.sizes = (np.concatenate(x) for x in ((self.flat, flat), (self.starts, starts.astype(np.int32)), (self.sizes, sizes.astype(np.int32))))
-            self.used = np.concatenate([self.used, np.zeros(len(missing), np.int32)])
-        self.used[at] = self.tick
-        return self.flat, self.starts[at], self.sizes[at]
+        words = words.to_pylist()
+        found = list(map(self.young.get, words))
+        missing = []
+        for at, held in enumerate(found):
+            if held is None:
+                if (held := self.old.get(words[at])) is None:
+                    missing.append(at)
+                else:
+                    found[at] = held
+                    self._keep(words[at], held)
+        if missing:
+            flat, sizes = self.make([words[at] for at in missing])
+            data, width = np.ascontiguousarray(flat, self.dtype).tobytes(), self.dtype.itemsize
+            upto = (np.cumsum(sizes) * width).tolist()
+            for at, low, high in zip(missing, [0, *upto], upto):
+                found[at] = data[low:high]
+                self._keep(words[at], found[at])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        return np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes, sizes
+
+
+#: What this worker process remembers: one operator's things at a time.
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What ``make`` gave for ``key`` when this worker first asked; another key's is dropped, so operators don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def coded_tokens(texts: pa.Array, lower: bool = False):

@@ -9,12 +9,14 @@ and the likeness is one minus its share of that bound.
 
 ``compared`` fingerprints each text, the same text with its end replaced by the
 start of the next one in descending id order, and compares it with both.  Texts
-are dealt once, into ranges of ids; the first text of the range below is sent
-along, so no range waits for another and no task sees all ids.
+are dealt once, into ranges of ids of about equal rows and bytes; the first text
+of the next range is sent along, so no range waits for another.
 
 Edge cases: null texts count as empty; texts of under five bytes have the bucket
-part zero and differ by length only; rows with equal ids are ordered by text;
-null ids come last; one row is its own next; an empty table gives no rows.
+part zero and differ by length only; null ids come last; rows with equal ids (or
+none) are ordered by their texts' first 64 characters, then by a hash, and may
+fill several ranges; one row is its own next; an empty table gives no rows; in
+``digests`` a column of the name ``fingerprint`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import id_bounds, record_batch, small_batches, spare
+from edgeloom.llm.common import Ranges, record_batch, small_batches, spare
 
 BUCKETS = 128
 #: Places of the three bytes in a window of five, and odd multipliers that mix them.
@@ -86,7 +88,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def digests(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` without its text, plus ``fingerprint``: no shuffle."""
-    kept = [c for c in docs.columns if c not in (text_column, "fingerprint")]
+    kept = [c for c in docs.columns if c.lower() not in (text_column.lower(), "fingerprint")]
     text = spare(docs, "_text")[0]
 
     def run(batches):
@@ -104,27 +106,27 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def compared(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 5_000) -> DataFrame:
+def compared(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 5_000, bytes_per_part: int = 16 << 20) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    bounds = id_bounds(docs, id_column, rows_per_part)
-    parts = max(1, len(bounds))
+    ranges = Ranges(docs, id_column, text_column, rows_per_part, bytes_per_part, descending=True)
+    parts = len(ranges)
     routed = pa.schema([("part", pa.int32()), ("extra", pa.bool_()), ("i", pa.int64()), ("t", pa.string())])
     schema = pa.schema([("i", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def route(batches):
-        """Rows to the ranges of their ids; the largest id of a range also goes to the range above, whose last row it follows."""
-        cuts = np.array(bounds, dtype=np.int64)
+        """Rows to their ranges; a row that starts a range also goes to the end of the range before, whose last row it follows."""
+        turn, sent = 0, set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            if not len(cuts):
-                yield record_batch({"part": np.zeros(len(ids), np.int32), "extra": np.zeros(len(ids), bool), "i": ids, "t": texts}, routed)
-                continue
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            value = ids.fill_null(int(cuts[0])).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(cuts, value, "left")
-            yield record_batch({"part": at.astype(np.int32), "extra": np.zeros(len(ids), bool), "i": ids, "t": texts}, routed)
-            if len(edge := np.flatnonzero(known & (cuts[at] == value))):
-                yield record_batch({"part": ((at[edge] + 1) % parts).astype(np.int32), "extra": np.ones(len(edge), bool), "i": ids.take(pa.array(edge)), "t": texts.take(pa.array(edge))}, routed)
+            at, firsts = ranges.deal(ids, batch.column(2), batch.column(3), turn)
+            turn += batch.num_rows
+            yield record_batch({"part": at, "extra": np.zeros(len(ids), bool), "i": ids, "t": texts}, routed)
+            # of rows that are all alike, one from each task is enough
+            edge = [(row, p) for row in firsts for p in ranges.ranges_from(ranges.key(*(batch.column(c)[row].as_py() for c in (0, 2, 3)))) if p not in sent]
+            if edge:
+                sent.update(p for _, p in edge)
+                rows = pa.array([row for row, _ in edge])
+                yield record_batch({"part": np.array([(p - 1) % parts for _, p in edge], np.int32), "extra": np.ones(len(edge), bool), "i": ids.take(rows), "t": texts.take(rows)}, routed)
 
     def follow(batches):
         """Rows of each range in descending order; the extra rows stand at its end."""
@@ -139,7 +141,7 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             out = []
             for part, extra, i, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if last is not None and last[0] != part:
-                    # without ids in any row, no extra row was sent: the first follows the last
+                    # no row was sent after it: its own first follows
                     out.append(pair(last, first))
                     last = None
                 if extra and last is None:
@@ -156,9 +158,9 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         if last is not None:
             yield record_batch(dict(zip(schema.names, [[x] for x in pair(last, first)])), schema)
 
-    data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t"))
+    data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).select("i", "t", *ranges.ties(F.col("t")))
     dealt = data.mapInArrow(route, "part int, extra boolean, i long, t string").repartitionById(parts, F.col("part"))
-    ordered = dealt.sortWithinPartitions("part", "extra", F.desc_nulls_last("i"), "t")
+    ordered = ranges.sorted(dealt, "part", "extra")
     got = ordered.mapInArrow(follow, "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return got.withColumnRenamed("i", id_column)
 

@@ -1,43 +1,56 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text gives, from any letter of
-a new text, the longest stretch that the labelled text holds.  A text is parsed
-into such stretches (phrases), never across a word's end, so the phrases of a
-word are a fixed number for each language and a worker counts them once.  A
-language's score is its phrases times the logarithm of its automaton's length,
-over the letters parsed: the cross-entropy in bits a letter.  Marks at both
-ends of every word are parsed with it.  The lowest wins.
+A text is read as its words in lower case, with one space between and at both
+ends.  For each language a suffix automaton of labelled text, read the same way,
+gives from any letter the longest stretch that the labelled text holds, and the
+text is parsed into such stretches (phrases), across words.  A language's score
+is its phrases times the logarithm of its automaton's length: the bits that name
+the text by places of the labelled one.  The lowest wins.
+
+A worker parses many texts for all languages at once, a letter at a time, in
+pieces of ``PIECE`` characters that are parsed apart: the edges of all automata
+lie in one hash table of flat arrays.
 
 The automata are fitted on a bounded sample: ``docs_per_language`` learnable
-documents of each language, of which ``letters_per_language`` letters of distinct
-words, the most frequent first.  Every text is predicted whole.
+documents of each language (fewer, but one at least, where there are so many
+languages that ``most_documents`` would be passed), distinct texts of at most
+``longest`` characters.  Every text is predicted whole.
 
 Edge cases: texts that are null, empty or without letters give ``und`` with
 score 0; ties go to the first language by name; without any labelled text all
-texts give ``und``; other columns are never read.
+texts give ``und``; a repeated row counts once in the sample; other columns are
+never read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from array import array
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import Remembered, coded_tokens, held_out, learnable, record_batch, reduce_texts, small_batches
+from edgeloom.llm.common import held_out, learnable, record_batch, small_batches
+
+NO_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters parsed in one go.
+PIECE = 512
+#: Bytes of text that a worker parses at a time: the more, the more pieces side by side.
+PARSE_BYTES = 4 << 20
+#: Bits of a state or character, an odd multiplier that spreads keys over a table, and what no entry is.
+BITS, SPREAD, FREE = 21, np.uint64(0x9E3779B97F4A7C15), -1
+
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Distinct tokens whose phrase counts a worker remembers.
-MOST_REMEMBERED = 1_500_000
+def plain(text: str | None) -> str:
+    """The words of a text in lower case, with one space between and at both ends."""
+    return NO_LETTERS.sub(" ", f" {text or ''} ".lower())
 
 
 class Automaton:
-    """Suffix automaton of words: it holds exactly their parts.
+    """Suffix automaton of texts: it holds exactly their parts.
 
     Edges lie in one dict keyed by state and character; after ``freeze`` that and
     the number of letters are all that is kept.
@@ -103,46 +116,111 @@ def phrases(edges: dict[int, int], word: str) -> int:
     return count + (1 if state else 0)
 
 
-def marked(word: str) -> str:
-    """A word between marks of its ends, which no word holds: a whole word matches where it is one, not a part of one."""
-    return f"^{word}$"
+class Edges:
+    """The edges of several automata in one flat hash table with linear probing.
+
+    An entry is an edge's key (state and character) with the state that it leads
+    to below it: 21 bits each, so all automata together have under two million states.
+    """
+
+    def __init__(self, automata: list[dict[int, int]], states: list[int]):
+        if sum(states) >= 1 << BITS:
+            raise ValueError("the sample is too large: lower docs_per_language, most_documents or longest")
+        self.roots = np.concatenate(([0], np.cumsum(states)[:-1])).astype(np.int64)
+        keys = np.concatenate([np.fromiter(e, np.int64, len(e)) + (root << BITS) for e, root in zip(automata, self.roots.tolist())])
+        to = np.concatenate([np.fromiter(e.values(), np.int64, len(e)) + root for e, root in zip(automata, self.roots.tolist())])
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, FREE, np.int64)
+        place, left = self._places(keys), np.arange(len(keys))
+        while len(left):
+            free = self.table[place[left]] == FREE
+            some, first = np.unique(place[left[free]], return_index=True)
+            put = left[free][first]
+            self.table[some] = keys[put] << BITS | to[put]
+            left = left[self.table[place[left]] >> BITS != keys[left]]
+            place[left] = (place[left] + 1) & self.mask
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each edge leads; -1 where there is none."""
+        place = self._places(keys)
+        out = self.table[place]
+        left = np.flatnonzero((out >> BITS) != keys)
+        seen = out[left]
+        out &= (1 << BITS) - 1
+        if len(left):
+            out[left] = -1
+            left, place = left[seen != FREE], place[left[seen != FREE]]
+        while len(left):
+            place = (place + 1) & self.mask
+            seen = self.table[place]
+            hit = (seen >> BITS) == keys[left]
+            out[left[hit]] = seen[hit] & (1 << BITS) - 1
+            on = ~hit & (seen != FREE)
+            left, place = left[on], place[on]
+        return out
+
+    def parse(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The phrases of pieces of ``letters``: a row a piece, a column an automaton."""
+        order = np.argsort(-sizes, kind="stable")
+        starts, width = starts[order], len(self.roots)
+        active = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), "left")
+        roots = np.tile(self.roots, len(order))
+        state, count = roots.copy(), np.zeros(len(roots), np.int32)
+        for t, n in enumerate(active.tolist()):
+            now = state[: n * width]
+            c = np.repeat(letters[starts[:n] + t], width)
+            to = self.find(now << BITS | c)
+            if len(over := np.flatnonzero(to < 0)):
+                count[over] += now[over] != roots[over]
+                again = self.find(roots[over] << BITS | c[over])
+                alone = again < 0  # a letter that the labelled text lacks is a phrase by itself
+                count[over[alone]] += 1
+                to[over] = np.where(alone, roots[over], again)
+            state[: n * width] = to
+        count += state != roots
+        out = np.empty((len(order), width), np.int64)
+        out[order] = count.reshape(-1, width)
+        return out
 
 
 class Model:
-    """Frozen automata by language, with the weight of a phrase in bits."""
+    """Frozen automata of all languages, with the weight of a phrase in bits."""
 
-    def __init__(self, texts: dict[str, list[str]], letters_per_language: int):
-        self.languages, self.edges, self.bits = [], [], []
+    def __init__(self, texts: dict[str, list[str]]):
+        self.languages, self.bits, edges, states = [], [], [], []
         for lang in sorted(texts):
-            counts = Counter()
-            for t in texts[lang]:
-                counts.update(WORD.findall(t.lower()))
             automaton = Automaton()
-            for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-                if automaton.letters >= letters_per_language:
-                    break
-                automaton.add(marked(word))
+            for t in texts[lang]:
+                if (t := plain(t)) != " ":
+                    automaton.add(t)
             if automaton.letters:
                 self.languages.append(lang)
-                self.edges.append(automaton.freeze())
                 self.bits.append(math.log2(automaton.letters + 1))
-
-    def count(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each token its letters, then its phrases for each language; and how many numbers that is."""
-        width = len(self.edges) + 1
-        out = array("i", bytes(4 * width * len(tokens)))
-        for at, token in zip(range(0, len(out), width), tokens):
-            for word in WORD.findall(token.lower()):
-                out[at] += len(word)
-                for i, edges in enumerate(self.edges, at + 1):
-                    out[i] += phrases(edges, marked(word))
-        return np.frombuffer(out, dtype=np.int32), np.full(len(tokens), width)
+                edges.append(automaton.freeze())
+                states.append(len(automaton.edges))
+        self.edges = Edges(edges, states) if edges else None
+
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        """For each text its letters, then its phrases for each language."""
+        read = [plain(t) for t in texts]
+        letters = np.frombuffer("".join(read).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, read), np.int64, len(read))
+        out = np.zeros((len(texts), len(self.languages) + 1), np.int64)
+        out[:, 0] = sizes - np.fromiter((t.count(" ") for t in read), np.int64, len(read))
+        pieces = -(-sizes // PIECE)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * PIECE
+        got = self.edges.parse(letters, starts, np.minimum(PIECE, np.repeat(sizes, pieces) - nth * PIECE))
+        out[:, 1:] = np.add.reduceat(got, np.cumsum(pieces) - pieces, axis=0)
+        return out
 
     def decide(self, sums: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """For rows of summed counts: the language, and how far its bits lie below the next one's (0 to 1)."""
+        """For rows of counts: the language, and how far its bits lie below the next one's (0 to 1)."""
         n = len(sums)
-        if not self.languages:
-            return ["und"] * n, np.zeros(n)
         bits = sums[:, 1:] * np.array(self.bits)
         best = bits.argmin(axis=1)
         least = bits[np.arange(n), best]
@@ -154,50 +232,44 @@ class Model:
         return [self.languages[i] if k else "und" for i, k in zip(best, known)], np.where(known, score, 0.0)
 
 
-#: A worker's memo, by the broadcast model that it belongs to.
-_MEMOS: dict[int, Remembered] = {}
-
-
-def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_language: int = 400, letters_per_language: int = 120_000, most_languages: int = 200) -> Model:
-    """Fit on a sample by hash of the learnable rows: at most ``docs_per_language`` texts a language, each of at most 20,000 characters here."""
-    good = docs.where(learnable(F.col(id_column)) & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    counts = docs.where(learnable(F.col(id_column)) & F.col(lang_column).isNotNull()).groupBy(lang_column).count().orderBy(F.desc("count"), lang_column).limit(most_languages).collect()
+def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_per_language: int = 40, most_documents: int = 400, longest: int = 10_000) -> Model:
+    """Fit on a sample by hash of the learnable rows' distinct texts, of every language that there is."""
+    lang, text = F.col(lang_column).cast("string").alias("l"), F.col(text_column)
+    # a text is one row here however often it stands there, and only its hash is dealt out
+    fits = F.length(text).between(1, longest)
+    hashes = docs.where(learnable(F.col(id_column)) & F.col(lang_column).isNotNull() & fits).select(lang, F.xxhash64(text).alias("h")).distinct()
+    counts = {r.l: r["count"] for r in hashes.groupBy("l").count().collect()}
     if not counts:
-        return Model({}, letters_per_language)
-    # one threshold a language, so that about twice the wanted number passes whatever the corpus holds
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, 2.0 * docs_per_language / r[1])))])
-    place = F.pmod(F.xxhash64(id_column), F.lit(1 << 40)) / float(1 << 40)
-    picked = good.where(place < F.coalesce(share[F.col(lang_column)], F.lit(0.0)))
-    rows = picked.select(F.col(lang_column).alias("l"), place.alias("p"), F.substring(text_column, 1, 20_000).alias("t"))
+        return Model({})
+    wanted = max(1, min(docs_per_language, most_documents // len(counts)))
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 40))
+    # a threshold for each language lets some more than the wanted number pass, whatever the corpus holds; the window holds those
+    share = docs.sparkSession.createDataFrame([(k, int((1 << 40) * min(1.0, (2 * wanted + 20) / n))) for k, n in counts.items()], "l string, below long")
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("p", "h"))
+    picked = hashes.join(F.broadcast(share), "l").withColumn("p", place).where("p < below").withColumn("n", rank).where(F.col("n") <= wanted)
+    keys = docs.sparkSession.createDataFrame([(r.l, r.h, r.p) for r in picked.collect()], "l string, h long, p long")  # at most most_documents, or one a language
+    rows = docs.where(learnable(F.col(id_column)) & fits).select(lang, F.xxhash64(text).alias("h"), text.alias("t")).join(F.broadcast(keys), ["l", "h"])
     texts = defaultdict(list)
-    for r in sorted(rows.limit(4 * docs_per_language * len(counts)).collect(), key=lambda r: (r.l, r.p, r.t)):
-        if len(texts[r.l]) < docs_per_language:
-            texts[r.l].append(r.t)
-    return Model(texts, letters_per_language)
+    for r in sorted(rows.groupBy("l", "p", "h").agg(F.min("t").alias("t")).collect()):
+        texts[r.l].append(r.t)
+    return Model(texts)
 
 
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row, from its whole text alone."""
+    data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t"))
+    if not model.languages:
+        return data.select(F.col("i").alias(id_column), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = pa.schema([("i", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's parameters
 
-    key = shared._jbroadcast.id()
-
     def run(batches):
         model = shared.value
-        if key not in _MEMOS:
-            _MEMOS.clear()
-            _MEMOS[key] = Remembered(model.count, np.int32, MOST_REMEMBERED)
-        for batch in small_batches(batches):
-            tokens, codes, places = coded_tokens(batch.column(1))
-            flat, starts, _ = _MEMOS[key].lookup(tokens)
-            each = flat.reshape(-1, len(model.edges) + 1)[starts // (len(model.edges) + 1)]
-            sums = reduce_texts(each[codes].astype(np.int64), places, np.add, 0)
-            langs, score = model.decide(sums)
+        for batch in small_batches(batches, PARSE_BYTES):
+            langs, score = model.decide(model.count(batch.column(1).to_pylist()))
             yield record_batch({"i": batch.column(0), "lang_pred": langs, "score": score}, schema)
 
-    got = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).mapInArrow(run, "i long, lang_pred string, score double")
-    return got.withColumnRenamed("i", id_column)
+    return data.mapInArrow(run, "i long, lang_pred string, score double").withColumnRenamed("i", id_column)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""The exact part of operator 9's near-duplicates: Jaccard similarity of word shingles.
 
 Two texts are near copies where their sets of ``shingle``-word runs have a
-Jaccard similarity of four fifths or more.  Two such sets share one of their
-first members, a fifth of each set, in any order that is the same for all
-(prefix filter), so each text is keyed by those and no pair is missed.  The
-order puts runs that many texts of a sample hold last, which changes the work
-only, not the result.
+Jaccard similarity of four fifths or more.  ``simhash`` gives candidates; the
+fingerprints of such texts may lie 20 bits apart, so what it can't reach is found
+by the pigeonhole principle on the sets themselves.  In any order that is the
+same for all sets, two such sets of n <= m members have their first common one
+among the first n/9 + 1 of the smaller and the first m/5 + 1 of the larger: each
+text is keyed by those, and no pair is missed.  The order puts runs that many
+texts of a sample hold last, which changes the work only, not the result.
 
 The members of a key are first held against its least member.  What that leaves
 apart is then compared in full, but for pairs that are already of one component:
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import materialize, small_batches, spare
-from edgeloom.llm.simhash import components
+from edgeloom.llm.components import components
 
 #: Texts of the sample, and how many of its frequent runs a worker knows.
 SAMPLE, MOST_COMMON = 10_000, 200_000
@@ -75,13 +77,13 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in rows], dtype=np.int64), np.array([c for _, c in rows], dtype=np.int64)
 
 
-def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
+def links(texts: DataFrame, shingle: int = 5, candidates: DataFrame | None = None) -> DataFrame:
     """(a, b) with a < b of (node, text): near copies, enough of them to connect all that there are."""
-    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
-    keyed = _sets(texts, shingle, common).select("node", "n", F.explode("hashes").alias("key"))
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))  # at most MOST_COMMON pairs of numbers
+    keyed = _sets(texts, shingle, common).select("node", "n", F.posexplode("hashes").alias("at", "key"))
     key = Window.partitionBy("key")
     members = keyed.withColumn("least", F.min("node").over(key)).withColumn("most", F.max("node").over(key)).where("least < most")
-    members = materialize(members.select("key", "node", "n", "least").distinct(), "members")
+    members = materialize(members.select("key", "node", "n", F.expr("at <= n div 9").alias("short"), "least").distinct(), "members")
     held = texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     sets = materialize(_sets(held, shingle), "sets")
 
@@ -90,24 +92,27 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
         both = materialize(pairs.distinct(), "pairs").join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
         return materialize(both.where("9 * size(array_intersect(ha, hb)) >= 4 * (na + nb)").select("a", "b"), "links")
 
-    first = checked(members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")))
-    now = members.join(components(first).toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    tried = members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    first = checked(tried if candidates is None else tried.unionAll(candidates))
+    now = members.join(components(first).toDF("node", "root"), "node", "left").select("key", "node", "n", "short", F.coalesce("root", "node").alias("root"))
     now = materialize(now, "rooted")
-    by_root = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    apart = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", F.col("m.root").alias("major"))
+    apart = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     left = materialize(now.join(apart, "key"), "apart")
-    x, y = left.where("root <> major").alias("x"), left.alias("y")
-    # each pair of two roots once: those with the key's largest root, and the others in order
-    other = F.expr("x.root <> y.root and (y.root = y.major or x.node < y.node) and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
+    x, y = left.where("short").alias("x"), left.alias("y")
+    other = F.expr("x.root <> y.root and (x.n < y.n or x.n = y.n and x.node < y.node) and 5 * x.n >= 4 * y.n")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     return first.unionAll(checked(pairs)).distinct()
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5) -> DataFrame:
-    """One document of each component of near copies: that with the least id (null ids last, then the least text hash)."""
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, candidates=None) -> DataFrame:
+    """One document of each component of near copies: that with the least id (null ids last, then the least text hash).
+
+    ``candidates`` makes pairs to check first, (a, b), from (node, text).
+    """
     mark, other, gone = spare(docs, "_node", "_id", "_gone")
     tagged = docs.withColumn(mark, F.xxhash64(F.col(text_column)))
-    roots = components(links(tagged.select(F.col(mark).alias("node"), F.col(text_column).alias("text")), shingle))
+    texts = tagged.select(F.col(mark).alias("node"), F.col(text_column).alias("text"))
+    roots = components(links(texts, shingle, candidates(texts) if candidates else None))
     rows = tagged.groupBy(F.col(id_column).alias("id"), F.col(mark).alias("node")).agg(F.count(F.lit(1)).alias("c"))
     rows = materialize(rows.join(roots, "node", "left").select("id", "node", "c", F.coalesce("root", "node").alias("root")), "rows")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "node")

@@ -27,7 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm import nearcopies
 from edgeloom.llm.common import materialize, small_batches, spare
+from edgeloom.llm.components import components
 
 #: Seed of the shingle hash (fixed by the contract).
 SEED = 42
@@ -52,7 +54,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text_column: str = "text", shingle: int = 3) -> DataFrame:
     """``docs`` without its text, plus ``simhash`` (the 64 bits as a signed long)."""
-    kept = [c for c in docs.columns if c not in (text_column, "simhash")]
+    kept = [c for c in docs.columns if c.lower() not in (text_column.lower(), "simhash")]
     text = spare(docs, "_text")[0]
 
     def run(batches):
@@ -106,57 +108,46 @@ def links(prints: DataFrame, distance: int = 2, blocks: int = 5, hot_key: int =
     return pairs.unionAll(stars).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the least node reachable.
-
-    Alternating large- and small-star rounds, each written to the shared folder.
-    A hub's rows are reduced by a grouped minimum, which combines before the
-    shuffle, and joined back by a join that AQE may split.
-    """
-
-    def star(pairs: DataFrame) -> DataFrame:
-        """(u, v) both ways -> each larger neighbour v of u to the least of u's neighbourhood."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        return pairs.join(least, "u")
-
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    seen = None
-    for _ in range(most_rounds):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        joined = star(large)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(joined.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = materialize(small, "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
-
-
 def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
-    """``docs`` without its text, plus ``simhash`` and ``component_id`` (least id of the component)."""
+    """``docs`` without its text, plus ``simhash`` and ``component_id`` (least id of the component); columns of these names are replaced."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "component_id"])
     rows = materialize(fingerprints(docs, text_column, shingle), "simhash")
-    prints = rows.groupBy("simhash").agg(F.min(id_column).alias("_least"))
+    prints = rows.groupBy("simhash").agg(F.min(id_column).alias("least")).select("simhash", "least")
     roots = components(links(prints.select("simhash"), distance, blocks))
-    named = prints.join(roots, prints.simhash == roots.node, "left").select("simhash", "_least", F.coalesce("root", "simhash").alias("_root"))
+    named = prints.join(roots, prints.simhash == roots.node, "left").select("simhash", "least", F.coalesce("root", "simhash").alias("root"))
     named = materialize(named, "roots")
-    owner = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    class_of = named.join(owner, "_root").select("simhash", "component_id")
+    owner = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    class_of = named.join(owner, "root").select("simhash", "component_id")
     # One print may belong to a third of all rows: these are a few bytes each, and AQE splits them.
     return rows.join(class_of, "simhash")
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
-    """One document of each component: that with the least id (null ids last, then the least text hash)."""
+def candidates(texts: DataFrame, shingle: int, distance: int = 2, blocks: int = 5) -> DataFrame:
+    """(a, b) of (node, text): texts of equal or close fingerprints, each print's texts by way of its least one."""
+    prints = materialize(fingerprints(texts, "text", shingle).distinct(), "prints")
+    least = materialize(prints.groupBy("simhash").agg(F.min("node").alias("least")), "least")
+    equal = prints.join(least, "simhash").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = links(least.select("simhash"), distance, blocks).toDF("x", "y")
+    for end, name in (("x", "a"), ("y", "b")):
+        near = near.join(least.select(F.col("simhash").alias(end), F.col("least").alias(name)), end)
+    return equal.unionAll(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, distance: int = 2, blocks: int = 5, similar: bool = False) -> DataFrame:
+    """One document of each component: that with the least id (null ids last, then the least text hash).
+
+    With ``similar``, texts are linked where the Jaccard similarity of their
+    shingle sets is four fifths or more: close fingerprints give the first
+    candidates, all of them are checked exactly, and ``nearcopies`` adds the
+    pairs whose fingerprints lie further apart.
+    """
+    if similar:
+        return nearcopies.dedup(docs, id_column, text_column, shingle, lambda texts: candidates(texts, shingle, distance, blocks))
     mark, other, kept_mark = spare(docs, "_hash", "_id", "_kept")
     tagged = docs.withColumn(mark, F.xxhash64(F.col(text_column)))
-    light = tagged.select(id_column, F.col(mark).alias("_hash"), text_column)
-    rows = grouped(light, id_column, text_column, shingle, distance, blocks)
-    first = F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("_hash").alias("hash"))).alias("k")
+    light = tagged.select(F.col(id_column).alias("id"), F.col(mark).alias("hash"), F.col(text_column).alias("text"))
+    rows = grouped(light, "id", "text", shingle, distance, blocks)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("k")
     # components of rows that have no id at all are told apart by their print
     kept = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("simhash"))).agg(first).select("k.id", "k.hash")
     some = tagged.join(kept.select(F.col("id").alias(other), F.col("hash").alias(kept_mark)).distinct(), F.col(id_column).eqNullSafe(F.col(other)) & (F.col(mark) == F.col(kept_mark)), "left_semi")

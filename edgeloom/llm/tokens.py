@@ -1,14 +1,15 @@
 """Token-ID output: ordered Parquet list columns that can be read selectively.
 
-``write_tokens`` deals documents into ranges of ascending id, one file a range,
-and encodes them where they land.  A row holds ``part``, ``local_start`` (ids
+``write_tokens`` deals documents into ranges of ascending id, about equal in
+rows and bytes, one file a range, and encodes them where they land.  A row holds ``part``, ``local_start`` (ids
 before it in its part), ``n_tokens``, the id and the list column ``ids``.  Row
 groups and pages have set sizes, so a reader of metadata never touches the ids,
 and a reader of a few documents uses the page index to skip the rest.  A small
 table ``index`` (one row a part) turns part-relative offsets into global ones.
 
 Edge cases: null and empty texts give the end id alone; null ids come first;
-rows with equal ids keep one defined order (by text); an empty table gives
+rows with equal ids (or none) stand in the order of their texts' first 64
+characters, then of a hash, and may fill several files; an empty table gives
 files without rows; other columns are not written.
 """
 
@@ -24,17 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.llm.common import Remembered, gather, id_bounds, record_batch, small_batches
+from edgeloom.llm.common import Ranges, Remembered, gather, held, record_batch, small_batches
 
-#: Distinct words whose ids a worker remembers.
-MOST_REMEMBERED = 1_000_000
-#: Text bytes encoded at a time.
-ENCODE_BYTES = 4 << 20
 #: Words in one call of the library.
 WORDS_A_CALL = 500
 
-_ENCODERS: dict[str, Encoder] = {}
-
 
 class Encoder:
     """Encodes Arrow columns of texts with the library.
@@ -50,7 +45,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), Remembered(self._new, np.int32, MOST_REMEMBERED)
+        self.tokenizer, self.memo = Tokenizer.from_file(path), Remembered(self._new, np.int32)
         alone = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = alone(" \n ") == [] and alone("ab cd\nef") == alone("ab") + alone("cd") + alone("ef") and alone(" gh") == alone("gh")
         vocabulary = self.tokenizer.get_vocab()
@@ -61,9 +56,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One encoder a worker process: later tasks find the words of earlier ones."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+        return held(("encoder", path), lambda: cls(path))
 
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Let the library encode words; those of letters only go many to a call, as each ends with one marked id."""
@@ -115,7 +108,7 @@ def _encoder(path: str, end_id: int, id_column: str):
 
     def run(batches):
         encoder, part, before = Encoder.of(path), None, 0
-        for batch in small_batches(batches, most=ENCODE_BYTES):
+        for batch in small_batches(batches):
             ids, counts = encoder.encode(batch.column(2), end_id)
             starts = []
             for p, n in zip(batch.column(0).to_pylist(), counts.tolist()):
@@ -130,12 +123,12 @@ def _encoder(path: str, end_id: int, id_column: str):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 20_000, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 20_000, bytes_per_part: int = 64 << 20, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
     """Write ``docs`` under ``path``: ``tokens`` (one ordered file a part) and ``index`` (part, rows, tokens, start)."""
     spark = docs.sparkSession
-    bounds = id_bounds(docs, id_column, rows_per_part)
-    data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t"))
-    dealt = data.mapInArrow(_router(bounds), "part int, i long, t string").repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("i"), "t")
+    ranges = Ranges(docs, id_column, text_column, rows_per_part, bytes_per_part)
+    data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).select("i", "t", *ranges.ties(F.col("t")))
+    dealt = ranges.sorted(data.mapInArrow(_router(ranges), "part int, i long, t string").repartitionById(len(ranges), F.col("part")), "part")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField(id_column, T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     writer = dealt.mapInArrow(_encoder(tokenizer_path, end_id, id_column), schema).write.mode("errorifexists")
     settings = {
@@ -155,17 +148,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark.createDataFrame(index, "part int, rows long, tokens long, start long").coalesce(1).write.parquet(f"{path}/index")
 
 
-def _router(bounds: list[int]):
-    """Give each row the number of its id's range."""
+def _router(ranges: Ranges):
+    """Give each row the number of its range."""
     schema = pa.schema([("part", pa.int32()), ("i", pa.int64()), ("t", pa.string())])
 
     def run(batches):
-        cuts = np.array(bounds, dtype=np.int64)
+        turn = 0
         for batch in batches:
-            ids = batch.column(0)
-            low = int(cuts[0]) if len(cuts) else 0
-            at = np.searchsorted(cuts, ids.fill_null(low).to_numpy(zero_copy_only=False), "left")
-            yield record_batch({"part": at.astype(np.int32), "i": ids, "t": batch.column(1)}, schema)
+            at, _ = ranges.deal(batch.column(0), batch.column(2), batch.column(3), turn)
+            turn += batch.num_rows
+            yield record_batch({"part": at, "i": batch.column(0), "t": batch.column(1)}, schema)
 
     return run
 
@@ -174,7 +166,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens): the ids column is not read."""
     rows = spark.read.parquet(f"{path}/tokens")
     index = spark.read.parquet(f"{path}/index").select("part", F.col("start").alias("_base"))
-    # the index has a row a part, at most 50,000: small by construction
+    # the index has a row for each file of at least bytes_per_part or rows_per_part: 40 bytes each
     return rows.drop("ids").join(F.broadcast(index), "part").withColumn("start", F.col("_base") + F.col("local_start")).drop("_base", "local_start", "part")
 
 

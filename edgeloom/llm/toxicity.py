@@ -14,15 +14,17 @@ are all sentences of clean ones, of which the hardest units are drawn again in
 each round.  Landmarks are strings that many toxic and hardly any clean
 documents hold, and some common units of both.
 
-The fit reads a bounded sample by hash (``docs_per_class`` documents a label, of
-which the first 20,000 characters); scores cover whole texts.  A linear machine
-on these features is one weight for each subsequence of the landmarks, so a
-worker scores a new unit from its own subsequences, and remembers it.
+The fit reads a bounded sample by hash: ``docs_per_class`` documents a label, one
+text for each id (the least), none of more than ``longest`` characters, so that
+what the driver holds has a bound; scores cover whole texts of any length.  A
+linear machine on these features is one weight for each subsequence of the
+landmarks, so a worker scores a new unit from its own subsequences, and
+remembers it.
 
 Edge cases: null and empty texts score as the empty sentence; without labels of
 both kinds, every score is the share of toxic labels (0 without any); contested
-labels of one id count as toxic; repeated rows score alike; other columns are
-not read.
+labels of one id count as toxic; repeated rows score alike, and don't change the
+sample however many they are; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import Remembered, coded_tokens, held_out, learnable, reduce_texts, small_batches, spare
+from edgeloom.llm.common import Remembered, coded_tokens, held, held_out, learnable, reduce_texts, small_batches, spare
 
 #: Weight of a character that an occurrence spans.
 DECAY = 0.85
@@ -45,8 +47,6 @@ DECAY = 0.85
 COSTS = (1.0, 1.0, 10.0)
 #: Longer units are taken in windows of this length that overlap by half.
 WINDOW = 24
-#: Tokens whose margins a worker remembers.
-MOST_REMEMBERED = 2_000_000
 #: Units scored at a time.
 UNITS_AT_ONCE = 20_000
 PUNCTUATION = re.compile(r"[\W_]+")
@@ -324,29 +324,26 @@ def platt(toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
     return float(slope), float(-w[1] / slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", docs_per_class: int = 1000, landmarks: int = 64) -> Model:
-    """Fit on at most ``docs_per_class`` learnable labelled documents of each kind, the first by hash."""
-    known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in known.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", docs_per_class: int = 1000, landmarks: int = 64, longest: int = 100_000) -> Model:
+    """Fit on ``docs_per_class`` learnable labelled documents of each kind (or all, if fewer), the first by hash."""
+    known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if not counts:
+        return Model([], [])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    # a threshold for each kind lets about twice the wanted number pass, whatever the input
-    below = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(int((1 << 40) * min(1.0, 2 * docs_per_class / max(1, counts.get(k, 0))))))])
-    rows = known.where(F.col("toxic").isin(0, 1)).where(place < below[F.col("toxic")]).select("doc_id", "toxic", place.alias("p")).limit(8 * docs_per_class)
+    # ids are distinct here, and a threshold for each kind lets about twice the wanted number of them pass, whatever the input
+    below = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 40) * min(1.0, 2 * docs_per_class / n))))])
+    rows = known.where(place < below[F.col("toxic")]).select("doc_id", "toxic", place.alias("p"))
     picked = {r.doc_id: (r.toxic, n) for n, r in enumerate(sorted(rows.collect(), key=lambda r: (r.p, r.doc_id)))}
-    if not picked:
-        return Model([], [])
-    # at most four times docs_per_class ids
     ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "_id long")
-    found = docs.select(F.col(id_column).alias("i"), F.substring(text_column, 1, 20_000).alias("t")).where("t is not null").join(F.broadcast(ids), F.col("i") == F.col("_id")).select("i", "t")
+    whole = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= longest))
+    # rows of one id meet in one text before anything is collected: four times docs_per_class of them
+    found = whole.join(F.broadcast(ids), F.col("i") == F.col("_id"), "left_semi").groupBy("i").agg(F.min("t").alias("t"))
     texts: list[list[tuple]] = [[], []]
-    for r in found.limit(8 * docs_per_class).collect():
+    for r in found.collect():
         kind, n = picked[r.i]
-        texts[kind].append((n, r.i, r.t))
-    return Model(*[[t for _, _, t in sorted(texts[k])[:docs_per_class]] for k in (1, 0)], landmarks=landmarks)
-
-
-#: A worker's memo, by the broadcast model that it belongs to.
-_MEMOS: dict[int, Remembered] = {}
+        texts[kind].append((n, r.t))
+    return Model(*[[t for _, t in sorted(texts[k])[:docs_per_class]] for k in (1, 0)], landmarks=landmarks)
 
 
 def scored(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "toxicity") -> DataFrame:
@@ -361,10 +358,7 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text", score_colum
 
     def run(batches):
         model = shared.value
-        if key not in _MEMOS:
-            _MEMOS.clear()
-            _MEMOS[key] = Remembered(lambda words: (model.margins(words), np.ones(len(words), np.int64)), np.float64, MOST_REMEMBERED)
-        memo = _MEMOS[key]
+        memo = held(("toxicity", key), lambda: Remembered(lambda words: (model.margins(words), np.ones(len(words), np.int64)), np.float64))
         for batch in small_batches(batches):
             texts = batch.column(at)
             tokens, codes, places = coded_tokens(texts, lower=True)

@@ -67,3 +67,37 @@ def test_digests(docs, rows):
     got = digest.digests(docs.drop("fingerprint"))
     assert got.columns == [c for c in docs.columns if c not in ("text", "fingerprint")] + ["fingerprint"]
     assert {r._text for r in got.select("_text").collect()} == {"own _text"} and "_text" in CLASHING
+
+
+def test_rows_that_are_all_alike_fill_several_ranges(spark):
+    rows = [(None, "nobody's text, five bytes at least")] * 50 + [(9, "the same text again and again")] * 50 + [(i, f"text number {i} of many") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for per_part in (7, 1000):
+        got = digest.compared(df, rows_per_part=per_part).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(plain(rows), key=str)
+
+
+def test_codes_and_likeness_against_definition(spark):
+    def code(data):
+        got, ordered = digest.counts(data).tolist(), sorted(digest.counts(data).tolist())
+        q1, q2, q3 = ordered[31], ordered[63], ordered[95]
+        quartiles = [0 if not any(got) else (x > q1) + (x > q2) + (x > q3) for x in got]
+        return quartiles, min(255, round(8 * __import__("math").log2(len(data) + 1)))
+
+    texts = [b"", b"abc", b"abcdef", b"the quick brown fox " * 40, bytes(range(256)) * 9, b"z" * 5000]
+    for x in texts:
+        (q, n), made = code(x), digest.codes(x)
+        assert made[:-1].tolist() == q and made[-1] == n
+        assert digest.text_of(made) == f"{n:02x}" + "".join(f"{a << 6 | b << 4 | c << 2 | d:02x}" for a, b, c, d in zip(q[::4], q[1::4], q[2::4], q[3::4]))
+        for y in texts:
+            (p, m), total = code(y), 0
+            for a, b in zip(q, p):
+                total += 6 if abs(a - b) == 3 else abs(a - b)
+            total += 2 * min(24, abs(n - m))
+            assert abs(digest.likeness(made, digest.codes(y)) - (1 - total / (6 * 128 + 48))) < 1e-12
+
+
+def test_digests_replace_a_column_of_the_name_in_any_case(spark):
+    df = spark.createDataFrame([(1, "some text here", "own", "x")], "doc_id long, text string, Fingerprint string, other string")
+    got = digest.digests(df)
+    assert got.columns == ["doc_id", "other", "fingerprint"] and got.first().fingerprint == digest.text_of(digest.codes(b"some text here"))

@@ -103,3 +103,10 @@ def test_empty(empty):
 def test_bad_distance(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "simhash long"), 3)
+
+
+def test_clashing_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, "some words here", "a", "b", "c"), (2, "some words here", "a", "b", "c")], "doc_id long, text string, Simhash string, Component_ID string, root string")
+    got = simhash.grouped(df)
+    assert sorted(got.columns) == ["component_id", "doc_id", "root", "simhash"] and {(r.component_id, r.root) for r in got.collect()} == {(1, "c")}
+    assert simhash.fingerprints(df).columns == ["doc_id", "Component_ID", "root", "simhash"]

@@ -84,3 +84,34 @@ def test_remembered_forgets():
 
 def test_empty(spark, empty):
     assert tokens.digest(spark, written(spark, empty)).count() == 0
+
+
+def test_rows_that_are_all_alike_fill_several_files(spark):
+    rows = [(None, "the same words")] * 60 + [(7, "other words")] * 60 + [(i, f"number {i}") for i in range(60)] + [(None, None)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = written(spark, df, rows_per_part=15)
+    by_part = spark.read.parquet(f"{out}/tokens").where("doc_id is null").groupBy("part").count().collect()
+    assert len(by_part) >= 4 and max(r["count"] for r in by_part) < 60
+    at, expected = 0, []
+    for i, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+        ids = whole(WORD, text)
+        expected.append((i, at, len(ids), zlib.crc32(array("I", ids).tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, tokens.digest(spark, out).collect()), key=str) == sorted(expected, key=str)
+
+
+def test_long_texts_get_files_of_their_own(spark):
+    rows = [(i, "long words " * (3000 if i < 4 else 1)) for i in range(40)]
+    out = written(spark, spark.createDataFrame(rows, "doc_id long, text string"), bytes_per_part=40_000)
+    parts = spark.read.parquet(f"{out}/tokens").where("doc_id < 4").select("part").distinct().count()
+    assert parts >= 3 and tokens.digest(spark, out).count() == 40
+
+
+def test_memo_has_a_bound_in_bytes():
+    import numpy as np
+
+    memo = Remembered(lambda ws: (np.full(len(ws), 7, np.int32), np.ones(len(ws), np.int64)), np.int32, most_bytes=20_000)
+    for k in range(50):
+        flat, starts, sizes = memo.lookup(pa.array([f"w{k}-{i}" for i in range(40)] + ["long" * 100]))
+        assert flat[starts].tolist() == [7] * 41 and sizes.tolist() == [1] * 41
+        assert sum(len(w) + 4 + memo.OVERHEAD for w in memo.words) <= 30_000 and max(map(len, memo.words)) <= memo.LONG

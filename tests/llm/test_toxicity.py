@@ -90,3 +90,43 @@ def test_empty(docs, rows, empty, labelled):
     assert len(got) == len(rows) and {r.score for r in got} == {0.0}
     long = "x" * 100 + INSULTS[0] + "y" * 50
     assert [u for u in toxicity.units(long) if INSULTS[0] in u]
+
+
+def test_scores_against_enumeration(spark, labelled):
+    """Margins by the kernel's definition, unit by unit, from the machine's weight of each landmark."""
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    # the machine's table sums landmark subsequences; its weights follow by least squares on the landmarks' own
+    marks = model.kernel.landmarks
+    weights, *_ = np.linalg.lstsq((model.kernel.weights / np.maximum(model.kernel.own, 1e-9)).astype(np.float64), model.table.astype(np.float64), rcond=None)
+
+    def margin(token):
+        best = []
+        for u in toxicity.units(token):
+            own = plain_kernel(u, u)
+            best.append(model.bias + (sum(w * plain_kernel(u, m) / (own * plain_kernel(m, m)) ** 0.5 for w, m in zip(weights, marks)) if own else 0.0))
+        return max(best)
+
+    texts = ["Alpha3 the BLOCKHEAD went.", "a b-l-o-c-k-h-e-a-d", "", None, "quite clean words", "nit.wit"]
+    got = {r.doc_id: r.toxicity for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        m = max([margin(w) for w in (t or "").lower().split()], default=model.bias)
+        want = 1 / (1 + np.exp(-np.clip(model.slope * (m - model.shift), -60, 60)))
+        assert abs(got[i] - want) < 2e-3, (t, got[i], want)
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_copies_of_a_row_change_no_model(spark, labelled, first):
+    docs, labels = labelled
+    clean = labels.where("toxic = 0 and doc_id % 10 = 1").orderBy("doc_id").limit(1)
+    copies, marks = (x.join(clean.select("doc_id"), "doc_id").crossJoin(spark.range(20_000)).drop("id") for x in (docs, labels))
+    more = [c.unionAll(d) if first else d.unionAll(c) for d, c in ((docs, copies), (labels, marks))]
+    a, b = toxicity.fit(docs, labels), toxicity.fit(*more)
+    assert a.kernel.landmarks == b.kernel.landmarks and a.bias == b.bias and (a.table == b.table).all()
+
+
+def test_long_texts_are_scored_whole(spark, labelled):
+    model = toxicity.fit(*labelled)
+    far = spark.createDataFrame([(1, "plain words " * 20_000 + INSULTS[0]), (2, "plain words " * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.scored(far, model).collect()}
+    assert got[1] > 0.5 > got[2]
