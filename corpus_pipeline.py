@@ -1,4 +1,4 @@
-"""Corpus pipeline: six stages over ``documents``, each written and read again."""
+"""Corpus pipeline: five stages over ``documents``, each written and read again."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import decontaminate, mixing, nearcopies, simhash, tokens, toxicity
+from edgeloom.llm import decontaminate, mixing, simhash, tokens, toxicity
 from edgeloom.llm.common import table, workdir
 from edgeloom.llm.queries import TOKENIZER
 
@@ -17,13 +17,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates by op9's fingerprints: exact copies and trivial edits."""
-    return simhash.dedup(docs)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts whose five-word shingles are alike by four fifths or more."""
-    return nearcopies.dedup(docs)
+    return simhash.dedup(docs, shingle=5, similar=True)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +45,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", not_toxic),
     ("near_duplicates", near_duplicates),
-    ("near_copies", near_copies),
     ("decontamination", benchmark_free),
     ("mixing", mixed),
     ("token_output", token_output),
