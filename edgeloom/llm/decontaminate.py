@@ -20,8 +20,8 @@ from edgeloom.llm.common import lower_ascii, materialize
 
 #: What splits words once A-Z are lower-cased (fixed by the contract).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows a broadcast may hold; a larger set is probed block by block.
-MOST_WINDOWS = 1_000_000
+#: Windows, and bytes of them and their item ids, that a broadcast may hold; a larger set is probed block by block.
+MOST_WINDOWS, MOST_BYTES = 1_000_000, 128 << 20
 
 
 def words(text: Column) -> Column:
@@ -61,13 +61,14 @@ def _scan(docs: DataFrame, benchmark: DataFrame, n: int, text_column: str, kept:
     times the window sizes, so no group grows with the corpus.
     """
     windows = materialize(benchmark_windows(benchmark, n), "windows")
-    sizes, count = windows.agg(F.sort_array(F.collect_set("k")), F.count(F.lit(1))).first()
+    held = F.octet_length(F.concat_ws(" ", "window")) + F.octet_length(F.concat_ws(" ", "items")) + 16 * (F.col("k") + F.size("items"))
+    sizes, count, size = windows.agg(F.sort_array(F.collect_set("k")), F.count(F.lit(1)), F.coalesce(F.sum(held), F.lit(0))).first()
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("_")).alias("_kept"), words(F.col(text_column)).alias("_w"))
     base = base.withColumn("_n", F.size("_w"))
     if not count:
         none = F.array().cast("array<struct<start:int,length:int>>")
         return base.select("_kept", F.col("_n").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), none.alias("spans"))
-    blocks = -(-count // most_windows)
+    blocks = max(-(-count // most_windows), -(-size // MOST_BYTES))
     if blocks > 1:  # rows need one number in every block's scan
         base = materialize(base, "words")
     hits = None

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate of its host where more than ``ratio`` of the host's pages
-hold it.  Pages of hosts with fewer than ``least_pages`` pages keep all lines.
+hold it, and ``least_pages`` of them at least: what one or two pages hold is no
+boilerplate, however few the host has.  Hosts of all sizes are judged alike.
 
 The lines of each page are extracted once and written to the shared folder.
 Counts combine before the shuffle, so a host or line of a third of all rows is
@@ -43,16 +44,16 @@ def lines_of(html: Column) -> Column:
     return F.array_remove(F.split(F.trim(t), r"[ \t\r\f\x0B]*\n\s*"), "")
 
 
-def boilerplate(pages: DataFrame, totals: DataFrame, ratio: float = 0.1, least_pages: int = 20) -> DataFrame:
+def boilerplate(pages: DataFrame, totals: DataFrame, ratio: float = 0.1, least_pages: int = 3) -> DataFrame:
     """(host, drop): the hashes of each host's boilerplate lines, from (host, lines) and (host, pages)."""
     line = pages.select("host", F.explode(F.array_distinct("lines")).alias("line"))
     # two hashes tell lines apart; the lines themselves needn't be dealt out
     seen = line.groupBy("host", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    common = seen.where(F.col("n") > ratio * least_pages).join(totals.where(F.col("pages") >= least_pages), "host").where(F.col("n") > ratio * F.col("pages"))
-    return common.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+    common = seen.where(F.col("n") >= least_pages).join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
+    return common.groupBy("host").agg(F.collect_set(F.concat_ws(".", "a", "b")).alias("drop"))
 
 
-def drop_lines(pages: DataFrame, ratio: float = 0.1, least_pages: int = 20, url_column: str = "url", html_column: str = "html") -> DataFrame:
+def drop_lines(pages: DataFrame, ratio: float = 0.1, least_pages: int = 3, url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``pages`` without its html, plus host, n_lines, n_dropped and clean_text."""
     added = ("host", "n_lines", "n_dropped", "clean_text")
     kept = [c for c in pages.columns if c.lower() not in (html_column.lower(), *added)]
@@ -66,7 +67,10 @@ def drop_lines(pages: DataFrame, ratio: float = 0.1, least_pages: int = 20, url_
     drop = drop.select("host", "drop", F.explode(salts).alias("_salt"))
     salted = rows.join(F.broadcast(large), "host", "left").withColumn("_salt", F.when(F.col("_large"), F.pmod(F.xxhash64("lines"), F.lit(SALTS).cast("long"))).otherwise(F.lit(0).cast("long"))).drop("_large")
     met = salted.join(drop, ["host", "_salt"], "left")
-    keep = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.expr("filter(lines, x -> not array_contains(drop, named_struct('a', xxhash64(x), 'b', xxhash64(1, x))))"))
+    # a hash set first leaves the page's own boilerplate lines, then each line is held against those few
+    name = "concat_ws('.', xxhash64(x), xxhash64(1, x))"
+    met = met.withColumn("_gone", F.when(F.col("drop").isNotNull(), F.expr(f"array_intersect(transform(lines, x -> {name}), drop)")))
+    keep = F.when(F.coalesce(F.size("_gone"), F.lit(0)) <= 0, F.col("lines")).otherwise(F.expr(f"filter(lines, x -> not array_contains(_gone, {name}))"))
     met = met.withColumn("_keep", keep)
     return met.select(
         *[F.col("_kept").getField(c).alias(c) for c in kept], "host", F.size("lines").cast("long").alias("n_lines"),

@@ -11,13 +11,17 @@ shares of the running total in order of size, a few single copies then close
 what is left of each source's target, and a class spreads its copies over its
 documents in the order of a hash.  Reruns agree.
 
-A class may hold a third of all rows, so it is dealt over ``SALTS`` buckets,
-which are numbered and counted before any document is ranked.
+A class may hold a third of all rows, so it is dealt over buckets of about
+``BUCKET`` rows, by hash, and a bucket that repeats of one row have made larger
+by row number: those rows are all alike, so it doesn't matter which is which.
+Buckets are counted before any document is ranked, so ``docs`` is read several
+times, and should be a table, or written.
 
 Edge cases: null and empty texts have size 0 and take nothing; a null source is
 a source of its own, last in order; repeated rows count each; an empty table
 gives an empty result; other columns pass through (names that this module adds,
-``size source_size target copies``, are replaced).
+``size source_size target copies``, are replaced).  Sums of fractions are decimal,
+so they don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from edgeloom.llm.common import materialize
 WEIGHTS = (3, 1, 2)
 #: Tokens of the mix as a share of all tokens, and the most copies of a document or source.
 SHARE, MOST = 1.5, 2
-#: Buckets of a class of equal source and size.
-SALTS = 64
+#: Rows of a bucket of a class of equal source and size.
+BUCKET = 100_000
 #: Single copies by which a source's total is closed in on its target.
 TOUCHES = 3
 
@@ -86,7 +90,7 @@ def solve(classes: DataFrame, sources: DataFrame, most: int = MOST, most_steps:
     for _ in range(most_steps):
         tokens = F.col("n") * F.col("size")
         at = classes.where("size > 0").join(state, "_key").groupBy("_key").agg(
-            F.sum(tokens * rate).alias("_f"), F.sum(F.when(rate < most, tokens * x * rate).otherwise(0.0)).alias("_slope"),
+            exact_sum(tokens * rate).alias("_f"), exact_sum(F.when(rate < most, tokens * x * rate).otherwise(0.0)).alias("_slope"),
             *[F.first(c).alias(c) for c in ("target", "source_size", "_scale", "_low", "_high", "_lambda")],
         )
         gap = F.col("_f") - F.col("target")
@@ -104,6 +108,11 @@ def solve(classes: DataFrame, sources: DataFrame, most: int = MOST, most_steps:
     return state
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that is the same in any order."""
+    return F.sum(value.cast("decimal(28,9)")).cast("double")
+
+
 def rate_of(multiplier: Column, x: Column, most: int) -> Column:
     return F.when(multiplier * x >= F.log(F.lit(float(most))) - 1e-12, float(most)).otherwise(F.exp(multiplier * x))
 
@@ -126,38 +135,49 @@ def allot(classes: DataFrame, state: DataFrame, most: int = MOST, touches: int =
     return got.select("_key", "size", "n", "k")
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (0 to ``most``)."""
     added = ("size", "source_size", "target", "copies")
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
-    return _mixed(docs, id_column, text_column, source_column, share, most, weights).select(*kept, *added)
+    return _mixed(docs, id_column, text_column, source_column, share, most, weights, bucket).select(*kept, *added)
 
 
-def _mixed(docs: DataFrame, id_column: str, text_column: str, source_column: str, share: float, most: int, weights: tuple) -> DataFrame:
+def _mixed(docs: DataFrame, id_column: str, text_column: str, source_column: str, share: float, most: int, weights: tuple, bucket: int) -> DataFrame:
     """(row, size, source_size, target, copies), the row's own columns in one struct, apart from all names used here."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     of = F.col("row").getField
     keyed = rows.select("row", source_key(of(source_column)).alias("_key"), size_of(of(text_column)).alias("size"), F.xxhash64(of(id_column), of(text_column)).alias("_hash"), of(id_column).alias("_id"))
-    keyed = keyed.withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
-    buckets = materialize(keyed.groupBy("_key", "size", "_salt").agg(F.count(F.lit(1)).alias("m")), "buckets")
-    classes = materialize(buckets.groupBy("_key", "size").agg(F.sum("m").alias("n")), "histogram")
+    classes = materialize(keyed.groupBy("_key", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    # at most a row for every `bucket` documents
+    large = classes.where(F.col("n") > bucket).select("_key", "size", F.ceil(F.col("n") / bucket).alias("_cuts"))
+    keyed = keyed.join(F.broadcast(large), ["_key", "size"], "left").withColumn("_salt", F.pmod("_hash", F.coalesce("_cuts", F.lit(1)))).drop("_cuts")
+    count = F.count(F.lit(1)).alias("m")
+    buckets = materialize(keyed.groupBy("_key", "size", "_salt").agg(count), "buckets")
+    crowded = buckets.where(F.col("m") > 4 * bucket).select("_key", "size", "_salt", F.ceil(F.col("m") / bucket).alias("_cuts"))
+    if crowded.isEmpty():
+        keyed, buckets = keyed.withColumn("_turn", F.lit(0).cast("long")), buckets.withColumn("_turn", F.lit(0).cast("long"))
+    else:
+        turn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_cuts", F.lit(1)))
+        keyed = keyed.join(F.broadcast(crowded), ["_key", "size", "_salt"], "left").withColumn("_turn", turn).drop("_cuts")
+        buckets = materialize(keyed.groupBy("_key", "size", "_salt", "_turn").agg(count), "buckets")
     sources = classes.groupBy("_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
     sources = materialize(targets(sources, share, most, weights), "targets")
     shares = allot(classes, solve(classes, sources, most), most)
     # whole-number shares of the class for each of its buckets, in order
-    run = Window.partitionBy("_key", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("_key", "size").orderBy("_salt", "_turn").rowsBetween(Window.unboundedPreceding, 0)
     dealt = buckets.join(shares, ["_key", "size"], "left").withColumns({"n": F.coalesce("n", F.lit(1)), "k": F.coalesce("k", F.lit(0))}).withColumn("_upto", F.sum("m").over(run))
-    dealt = dealt.withColumn("_k", F.expr("(k * _upto) div n - (k * (_upto - m)) div n")).join(sources.select("_key", "source_size", "target"), "_key")
-    dealt = materialize(dealt.select("_key", "size", "_salt", "m", "_k", "source_size", "target"), "dealt")
-    place = F.row_number().over(Window.partitionBy("_key", "size", "_salt").orderBy("_hash", "_id"))
-    ranked = keyed.join(dealt, ["_key", "size", "_salt"]).withColumn("_place", place)
+    dealt = dealt.withColumn("_k", F.expr("cast(cast(k as decimal(19,0)) * _upto div n as long) - cast(cast(k as decimal(19,0)) * (_upto - m) div n as long)")).join(sources.select("_key", "source_size", "target"), "_key")
+    dealt = materialize(dealt.select("_key", "size", "_salt", "_turn", "m", "_k", "source_size", "target"), "dealt")
+    at = ["_key", "size", "_salt", "_turn"]
+    place = F.row_number().over(Window.partitionBy(*at).orderBy("_hash", "_id"))
+    ranked = keyed.join(dealt, at).withColumn("_place", place)
     copies = F.expr("cast(_k div m + if(_place <= _k % m, 1, 0) as int)")
     return ranked.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
-def take(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+def take(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, bucket: int = BUCKET) -> DataFrame:
     """The mix itself: each document as often as its copies say."""
-    mixed = _mixed(docs, id_column, text_column, source_column, share, most, weights)
+    mixed = _mixed(docs, id_column, text_column, source_column, share, most, weights, bucket)
     return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -12,9 +12,9 @@ passage may stand in a third of all documents.
 
 Edge cases: null and empty texts have no sentences; texts of one sentence or of
 fewer than ``least_words`` words have no span; null ids come last; rows with an
-equal id count as one document, so neither loses what the other has first;
-U+001F is read as a space; an empty table gives no rows; other columns pass
-through.
+equal id count as one document, so neither loses what the other has first; an
+empty table gives no rows; columns named n_sentences, n_removed or removed (in any
+case) are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ LAST = (1 << 63) - 1
 
 def sentences(text: str | None) -> list[str]:
     """Sentences with what separates them from the next; joined, they are the text."""
-    return [s for s in END.sub("\\1\x1f", (text or "").replace("\x1f", " ")).split("\x1f") if s]
+    parts = END.split(text or "")
+    return [s for s in map("".join, zip(parts[::2], [*parts[1::2], ""])) if s]
 
 
 def spans(pieces: list[str], least_words: int = LEAST_WORDS) -> list[tuple[int, int, str]]:
@@ -88,7 +89,7 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the text cut, plus n_sentences, n_removed and removed (start, length of each cut, in sentences)."""
-    rest = docs.drop("n_sentences", "n_removed", "removed")
+    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "removed")])
     i, h, s = spare(docs, "_id", "_hash", "_spans")
     found = repeated(docs, id_column, text_column, least_words).toDF(i, h, s)
     keyed = rest.withColumn(i, F.coalesce(F.col(id_column).cast("long"), F.lit(LAST))).withColumn(h, F.xxhash64(text_column))

@@ -45,7 +45,7 @@ with t as (select row_number() over () r, page_id, lower(regexp_extract(coalesce
 l as (select r, page_id, host, list_filter(string_split(regexp_replace(trim(x, ' '), '[ \t\r\f\x0B]*\n\s*', chr(10), 'g'), chr(10)), lambda y: y <> '') ls from t),
 total as (select host, count(*) pages from l group by host),
 seen as (select host, line, count(*) n from (select distinct r, host, unnest(ls) line from l) group by 1, 2),
-bad as (select host, line from seen join total using (host) where pages >= 20 and n > 0.1 * pages),
+bad as (select host, line from seen join total using (host) where n >= 3 and n > 0.1 * pages),
 row_lines as (select r, host, i, ls[i] line from (select r, host, ls, unnest(range(1, len(ls) + 1)) i from l)),
 kept as (select r, count(*) n, count(bad.line) dropped, string_agg(case when bad.line is null then row_lines.line end, chr(10) order by i) body from row_lines left join bad on bad.host = row_lines.host and bad.line = row_lines.line group by r)
 select page_id, host, coalesce(n, 0)::bigint n_lines, coalesce(dropped, 0)::bigint n_dropped, sha256(coalesce(body, '')) text_sha256 from l left join kept using (r)"""

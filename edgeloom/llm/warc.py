@@ -5,11 +5,18 @@ archive starts with it, in a skippable frame of magic 0x184D2A5D, and then holds
 one frame a record, so a reader can start at any of them.
 
 Records of equal payloads of at least ``least_bytes`` bytes are written once:
-the row with the largest page id is a response, the others revisit it.
+the row with the largest page id is a response, the others revisit it, and leave
+their payloads behind before records are dealt to files.  The shared payloads
+that hold over a thousandth of the pages, and all others while they are no more
+than ``MOST_SHARED``, are broadcast as digests; beyond that, pages that may
+share a payload are joined by digest.
 
 The bytes go out through Spark's own writer, and so through its commit protocol
 and to any file system that Spark knows: a row is a frame, and the separator
-between rows is an empty skippable frame, which every reader passes over.
+between rows is an empty skippable frame, which every reader passes over.  Files
+are dealt by row, so no page, payload or host fills one.  The writer names them
+``.txt``; they are renamed after the commit where ``rename`` is set, and readers
+take either name, so what a crash leaves is whole.
 
 Edge cases: a null payload is empty; a null URL has no target header; line
 breaks in a URL are percent-encoded; a null page id never is the response of a
@@ -41,14 +48,14 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 #: Payloads of fewer bytes are always written whole.
 LEAST_BYTES = 1000
-#: Salts of a payload digest: one may belong to a third of all rows.
-SALTS = 16
+#: Digests (40 bytes each, and 8 of an id) that a broadcast may hold; a digest is common from one page in so many.
+MOST_SHARED, COMMON = 1_000_000, 1000
 ID = re.compile(r"<urn:x-page:(-?\d+)>")
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
-    """One WARC record; a revisit where ``refers_to`` is a page id."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id, url, payload: bytes | None, digest: str, refers_to, date: str, size: int | None = None) -> bytes:
+    """One WARC record; a revisit, which needs no payload but its size, where ``refers_to`` is a page id."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if size is None else size)
     block = http + payload if refers_to is None else http
     name = f"urn:x-page:{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {digest}')}"
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}"]
@@ -74,39 +81,59 @@ def dictionary_frame(data: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, dictionary_bytes: int = 64 << 10, samples: int = 400, sample_bytes: int = 16 << 10, bytes_per_file: int = 32 << 20, level: int = 6, date: str = "2026-01-01T00:00:00Z") -> None:
+def keepers(rows: DataFrame, least_bytes: int) -> tuple[DataFrame, int, int]:
+    """(digest, keeper) of the payloads that several pages share, and the pages and payload bytes in all."""
+    groups = rows.groupBy("digest", F.octet_length("payload").alias("bytes")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups, "payloads")
+    pages, total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("bytes") * F.col("n")), F.lit(0))).first()
+    shared = groups.where((F.col("n") > 1) & (F.col("bytes") >= least_bytes) & F.col("keeper").isNotNull())
+    return shared.select("digest", "keeper", (F.col("n") * COMMON > pages).alias("common")), pages, total
+
+
+def referred(rows: DataFrame, shared: DataFrame, least_bytes: int, most_shared: int) -> DataFrame:
+    """``rows`` with ``keeper``: the page whose payload theirs equals, if any."""
+    if shared.count() <= most_shared:
+        return rows.join(F.broadcast(shared.select("digest", "keeper")), "digest", "left")
+    common = shared.where("common").select("digest", F.col("keeper").alias("_most"))  # under COMMON rows
+    met = rows.join(F.broadcast(common), "digest", "left")
+    # rows that need no partner get a key of their own, so neither short nor common payloads meet in a task
+    free = F.col("_most").isNotNull() | (F.octet_length("payload") < least_bytes)
+    key = F.when(free, F.concat(F.lit("-"), F.monotonically_increasing_id())).otherwise(F.col("digest"))
+    rest = shared.where("not common").select(F.col("digest").alias("_key"), "keeper")
+    return met.withColumn("_key", key).join(rest, "_key", "left").withColumn("keeper", F.coalesce("_most", "keeper")).drop("_most", "_key")
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, dictionary_bytes: int = 64 << 10, samples: int = 400, sample_bytes: int = 16 << 10, bytes_per_file: int = 32 << 20, level: int = 6, date: str = "2026-01-01T00:00:00Z", rename: bool = True, most_shared: int = MOST_SHARED) -> None:
     """Write ``pages`` (page_id, url, html) as archives under ``path``, about ``bytes_per_file`` of payload in each."""
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    # the sample's records are cut: the dictionary is learned from the bytes that records have in common
-    keep = max(1, pages.count() // (2 * samples))  # about twice the wanted number passes, whatever the input
-    picked = rows.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(keep)) == 0)
-    sample = picked.select("page_id", "url", F.substring("payload", 1, sample_bytes).alias("payload"), "digest").limit(samples)
-    found = sorted(sample.collect(), key=lambda r: (r.digest, str(r.page_id), str(r.url)))
-    dictionary = train([record(r.page_id, r.url, bytes(r.payload), r.digest, None, date) for r in found], dictionary_bytes)
-    groups = rows.groupBy("digest", F.octet_length("payload").alias("bytes")).agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    groups = materialize(groups, "payloads")
-    total = groups.agg(F.sum(F.col("bytes") * F.col("n"))).first()[0] or 0
-    files = max(1, -(-total // bytes_per_file))
-    shared = groups.where((F.col("n") > 1) & (F.col("bytes") >= least_bytes) & F.col("keeper").isNotNull())
-    shared = shared.select("digest", "keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"))
-    placed = rows.repartition(files, "digest", "_salt").join(shared, ["digest", "_salt"], "left")
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    shared, count, total = keepers(rows, least_bytes)
+    # the sample's records are cut: the dictionary is learned from the bytes that records have in common, of distinct payloads
+    picked = rows.where(F.rand(7) < min(1.0, 2 * samples / max(1, count)))
+    sample = picked.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("k"), F.min(F.substring("payload", 1, sample_bytes)).alias("payload"))
+    found = sorted(sample.collect(), key=lambda r: r.digest)[:samples]
+    dictionary = train([record(r.k.page_id, r.k.url, bytes(r.payload), r.digest, None, date) for r in found], dictionary_bytes)
+    met = referred(rows, shared, least_bytes, most_shared)
     refers = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
+    met = met.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), F.octet_length("payload").alias("bytes"))
+    met = met.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    placed = met.repartition(max(1, -(-total // bytes_per_file)), F.xxhash64(F.monotonically_increasing_id()))
     schema = pa.schema([("value", pa.binary())])
 
     def run(batches):
         shared_dictionary = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         compressor, first = zstandard.ZstdCompressor(level=level, dict_data=shared_dictionary), [dictionary_frame(dictionary)] if dictionary else []
         for batch in small_batches(batches):
-            out = first + [compressor.compress(record(i, u, p, d, r, date)) for i, u, p, d, r in zip(*(c.to_pylist() for c in batch.columns))]
+            out = first + [compressor.compress(record(i, u, p, d, r, date, n)) for i, u, p, d, r, n in zip(*(c.to_pylist() for c in batch.columns))]
             first = []
             yield record_batch({"value": out}, schema)
 
-    frames = placed.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(run, "value binary")
+    frames = placed.mapInArrow(run, "value binary")
     frames.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(path)
-    # the writer names what it writes .txt
+    if not rename:
+        return
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -173,5 +200,5 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield batch_of(rows)
 
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc.zst}").load(path)
     return files.select("content").mapInArrow(run, kinds)

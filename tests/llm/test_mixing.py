@@ -91,3 +91,23 @@ def test_little(spark, texts):
     df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = mixing.report(df).collect()
     assert len(got) == len(texts) and all(r.taken in (r.size, 2 * r.size) for r in got)
+
+
+def test_repeats_of_a_row_are_dealt_out(spark):
+    """A third of the rows repeat one; totals hold, and so do other rows' copies, whatever the partitions."""
+    rows = [(7, "one row again", "a")] * 600 + [(1000 + i, "three words here", "a") for i in range(600)] + [(5000 + i, "b " * (i % 7 + 1), "b") for i in range(600)]
+    got = []
+    for n in (3, 8):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        mixed = mixing.mix(df, bucket=50).collect()
+        target = {r.source: r.target for r in mixed}
+        for s in "ab":
+            assert abs(sum(r["size"] * r.copies for r in mixed if r.source == s) - target[s]) <= 3 and {r.copies for r in mixed} <= {0, 1, 2}
+        got.append(sorted((r.doc_id, r.copies) for r in mixed))
+    assert got[0] == got[1]
+
+
+def test_partitions_change_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    a, b = (sorted(map(tuple, mixing.mix(d, bucket=40).select("doc_id", "copies").collect())) for d in (docs, docs.repartition(13)))
+    assert a == b

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from edgeloom.llm import spans
-from tests.llm.conftest import untouched
+from tests.llm.conftest import CLASHING
 
 
 def test_against_brute_force(docs, rows):
@@ -21,7 +21,9 @@ def test_against_brute_force(docs, rows):
             seen.add(body)
         expected.append((None if i == spans.LAST else i, "".join(p for j, p in enumerate(pieces) if j not in drop) if drop else t, len(pieces), len(drop)))
     got = spans.dedup(docs)
-    untouched(got.drop("n_sentences", "n_removed", "removed"), docs.drop("removed")) if "removed" not in docs.columns else None
+    others = [c for c in CLASHING if c != "removed"]
+    assert got.columns == [c for c in docs.columns if c != "removed"] + ["n_sentences", "n_removed", "removed"]
+    assert {tuple(r) for r in got.select(*[f"`{c}`" for c in others]).collect()} == {tuple(f"own {c}" for c in others)}
     assert sorted(((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got.collect()), key=str) == sorted(expected, key=str)
     assert sum(e[3] > 0 for e in expected) > 10
     for r in got.collect():
@@ -32,7 +34,7 @@ def test_against_brute_force(docs, rows):
 def test_sentences_join_to_the_text(seed):
     r = random.Random(seed)
     text = "".join(r.choice(["a ", "b. ", "c!\n", "\n\n", "d?!  ", ". ", "e.f ", "\t"]) for _ in range(60))
-    assert "".join(spans.sentences(text)) == text
+    assert "".join(spans.sentences(text)) == text and "".join(spans.sentences(text.replace("a", "\x1f"))) == text.replace("a", "\x1f")
     found = spans.spans(spans.sentences(text), 5)
     assert all(n >= 2 and sum(len(x.split()) for x in body.split("\n")) >= 5 for _, n, body in found)
 
@@ -49,3 +51,8 @@ def test_passage_in_other_text(spark):
     rows = [(i, f"Start number {i} says this. {passage} End number {i} is here.") for i in range(5)]
     got = {r.doc_id: r.text for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == rows[0][1] and all("passage" not in got[i] and f"Start number {i}" in got[i] and "closes" not in got[i] for i in range(1, 5))
+
+
+def test_names_in_any_case_are_replaced(spark):
+    df = spark.createDataFrame([(1, "A b.", "x", "y", "z")], "doc_id long, text string, Removed string, N_Sentences string, other string")
+    assert spans.dedup(df).columns == ["doc_id", "text", "other", "n_sentences", "n_removed", "removed"]

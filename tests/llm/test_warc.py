@@ -72,3 +72,23 @@ def test_empty(spark):
     path = workdir(spark, "warc")
     warc.write_archives(spark.createDataFrame([], COLUMNS), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("most_shared", [0, 10**6])
+def test_hot_payloads(spark, most_shared):
+    """A third of the pages hold one long payload, a third are empty; with and without the broadcast."""
+    big = "<html>" + "shared " * 200
+    rows = [(i, f"http://a.example/{i}", (big, "", f"<p>{i} " + "own " * 300)[i % 3]) for i in range(600)] + [(None, "n", big), (7, "again", big), (900, "pair", "pair " * 400), (901, "pair", "pair " * 400)]
+    path = workdir(spark, "warc")
+    df = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], COLUMNS).repartition(5)
+    warc.write_archives(df, path, bytes_per_file=20_000, most_shared=most_shared)
+    got = warc.read_archives(spark, path)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()), key=str) == expected(rows)
+    sizes = [f.length for f in spark.read.format("binaryFile").load(path + "/*.warc.zst").select("length").collect()]
+    assert len(sizes) > 10 and max(sizes) < 60_000
+
+
+def test_files_under_either_name_are_read(spark):
+    path = workdir(spark, "warc")
+    warc.write_archives(spark.createDataFrame([(*r, "", "", "", "") for r in pages()], COLUMNS), path, rename=False)
+    assert warc.read_archives(spark, path).count() == len(pages())
