@@ -9,6 +9,10 @@ among the first n/9 + 1 of the smaller and the first m/5 + 1 of the larger: each
 text is keyed by those, and no pair is missed.  The order puts runs that many
 texts of a sample hold last, which changes the work only, not the result.
 
+Where such sets first meet, what is left of both must still hold the common
+members, which rules out most pairs before any set is read again; sets are made
+only of the texts in the pairs that are left.
+
 The members of a key are first held against its least member.  What that leaves
 apart is then compared in full, but for pairs that are already of one component:
 a large group of copies of one text is linked in proportion to its size.
@@ -25,7 +29,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import materialize, small_batches, spare
@@ -33,6 +37,8 @@ from edgeloom.llm.components import components
 
 #: Texts of the sample, and how many of its frequent runs a worker knows.
 SAMPLE, MOST_COMMON = 10_000, 200_000
+#: Rows of two numbers that a broadcast may hold; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -77,31 +83,45 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([h for h, _ in rows], dtype=np.int64), np.array([c for _, c in rows], dtype=np.int64)
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """Written ``rows`` of a few numbers, to be broadcast if they are few enough."""
+    rows = materialize(rows, "small")
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def links(texts: DataFrame, shingle: int = 5, candidates: DataFrame | None = None) -> DataFrame:
     """(a, b) with a < b of (node, text): near copies, enough of them to connect all that there are."""
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))  # at most MOST_COMMON pairs of numbers
-    keyed = _sets(texts, shingle, common).select("node", "n", F.posexplode("hashes").alias("at", "key"))
-    key = Window.partitionBy("key")
-    members = keyed.withColumn("least", F.min("node").over(key)).withColumn("most", F.max("node").over(key)).where("least < most")
-    members = materialize(members.select("key", "node", "n", F.expr("at <= n div 9").alias("short"), "least").distinct(), "members")
-    held = texts.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialize(_sets(held, shingle), "sets")
+    # copies of a text meet here, before their keys are dealt out
+    prefixes = _sets(texts, shingle, common).groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    keyed, key = prefixes.select("node", "n", F.posexplode("hashes").alias("at", "key")), Window.partitionBy("key")
+    members = keyed.withColumn("least", F.min(F.struct("node", "n", "at")).over(key)).withColumn("most", F.max("node").over(key)).where("least.node < most")
+    members = materialize(members.select("key", "node", "n", "at", "least"), "members")
+
+    def alike(x: str, y: str) -> Column:
+        """Whether sets of sizes ``n`` that first meet at places ``at`` may hold enough in common."""
+        n, m = f"{x}n", f"{y}n"
+        return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and 9 * least({n} - {x}at, {m} - {y}at) >= 4 * ({n} + {m})")
 
     def checked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct(), "pairs")
+        nodes = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        held = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        sets = materialize(_sets(held, shingle), "sets")
         a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
-        both = materialize(pairs.distinct(), "pairs").join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+        both = pairs.join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
         return materialize(both.where("9 * size(array_intersect(ha, hb)) >= 4 * (na + nb)").select("a", "b"), "links")
 
-    tried = members.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    tried = members.where(F.col("least.node") < F.col("node")).where(alike("", "least.")).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
     first = checked(tried if candidates is None else tried.unionAll(candidates))
-    now = members.join(components(first).toDF("node", "root"), "node", "left").select("key", "node", "n", "short", F.coalesce("root", "node").alias("root"))
+    now = members.join(components(first).toDF("node", "root"), "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     now = materialize(now, "rooted")
     apart = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     left = materialize(now.join(apart, "key"), "apart")
-    x, y = left.where("short").alias("x"), left.alias("y")
-    other = F.expr("x.root <> y.root and (x.n < y.n or x.n = y.n and x.node < y.node) and 5 * x.n >= 4 * y.n")
+    x, y = left.where("at <= n div 9").alias("x"), left.alias("y")
+    other = F.expr("x.root <> y.root and (x.n < y.n or x.n = y.n and x.node < y.node)") & alike("x.", "y.")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return first.unionAll(checked(pairs)).distinct()
+    return first.unionAll(checked(pairs.join(first, ["a", "b"], "left_anti"))).distinct()
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, candidates=None) -> DataFrame:
@@ -118,10 +138,8 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
     best = rows.groupBy("root").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("root", "k")
     lost = rows.join(best, "root").where(~(F.col("id").eqNullSafe(F.col("k.id")) & (F.col("node") == F.col("k.node")))).select("id", "node")
-    lost = materialize(lost, "lost")
-    again = rows.where("c > 1").select("id", "node")
     same = F.col(id_column).eqNullSafe(F.col(other)) & (F.col(mark) == F.col(gone))
-    left = tagged.join(lost.toDF(other, gone), same, "left_anti")
-    again = again.toDF(other, gone)
+    left = tagged.join(small(lost.toDF(other, gone)), same, "left_anti")
+    again = small(rows.where("c > 1").select("id", "node").toDF(other, gone))
     kept = left.join(again, same, "left_anti").unionAll(left.join(again, same, "left_semi").dropDuplicates([id_column, mark]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
