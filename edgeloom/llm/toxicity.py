@@ -190,16 +190,17 @@ def choose_landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]],
     seen = Counter(u for us in per_clean for u in us)
     tolerated = len(clean) // 500  # a unit in so few clean documents may still be an insult
     per_toxic = [{u for s in d for u in s if seen[u] <= tolerated and len(u) >= 3} for d in toxic]
-    found, holders = [{u: grams(u) | {u} for u in us} for us in per_toxic], Counter()
-    for by_unit in found:
-        holders.update(set().union(*by_unit.values()))
+    parts, holders = {u: grams(u) | {u} for us in per_toxic for u in us}, Counter()
+    for us in per_toxic:
+        holders.update(set().union(*(parts[u] for u in us)))
     holders = {g: n for g, n in holders.items() if n >= least_docs}
     in_clean = Counter()
     for us in per_clean:
         in_clean.update({g for u in us for g in grams(u) | {u} if g in holders})
     ratio = (len(toxic) + 1) / (len(clean) + 1)
     good = {g for g, n in holders.items() if n > 10 * ratio * in_clean[g]}
-    left = [{u: gs & good for u, gs in by_unit.items() if not gs.isdisjoint(good)} for by_unit in found]
+    parts = {u: gs & good for u, gs in parts.items() if not gs.isdisjoint(good)}
+    left = [{u: parts[u] for u in us if u in parts} for us in per_toxic]
     tally, chosen = Counter(), []
     for by_unit in left:
         tally.update(set().union(*by_unit.values()))
@@ -271,10 +272,11 @@ class Model:
         whiten = vectors[:, good] / np.sqrt(values[good])
         distinct = sorted({u for kind in bags for d in kind for s in d for u in s})
         place = {u: i for i, u in enumerate(distinct)}
-        x = np.vstack([kernel.features(distinct[i : i + UNITS_AT_ONCE]) for i in range(0, len(distinct), UNITS_AT_ONCE)]) @ whiten
+        x = np.vstack([kernel.features(distinct[i : i + UNITS_AT_ONCE]) for i in range(0, len(distinct), UNITS_AT_ONCE)])
         docs = [[np.array(sorted({place[u] for s in d for u in s}), dtype=np.int64) for d in kind] for kind in bags]
         # to begin with, strength is likeness to a landmark, as far as the documents support that one
-        strength = (kernel.features(distinct) * np.array(trust, dtype=np.float32)).max(axis=1)
+        strength = (x * np.array(trust, dtype=np.float32)).max(axis=1)
+        x = x @ whiten.astype(np.float32)
         in_clean = np.zeros(len(distinct), dtype=bool)
         in_clean[np.unique(np.concatenate(docs[1]))] = True
         level = 0.6
@@ -324,7 +326,7 @@ def platt(toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
     return float(slope), float(-w[1] / slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", docs_per_class: int = 1000, landmarks: int = 64, longest: int = 100_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", docs_per_class: int = 1000, landmarks: int = 64, longest: int = 20_000) -> Model:
     """Fit on ``docs_per_class`` learnable labelled documents of each kind (or all, if fewer), the first by hash."""
     known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
