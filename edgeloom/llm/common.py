@@ -245,6 +245,19 @@ def coded_tokens(texts: pa.Array, lower: bool = False):
     return coded.dictionary, coded.indices.to_numpy(), places
 
 
+#: Hashes whose bits are counted at a time.
+AT_ONCE = 1 << 18
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), AT_ONCE):
+        bits = np.unpackbits(hashes[i : i + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
+
+
 def reduce_texts(values: np.ndarray, places: np.ndarray, how, empty) -> np.ndarray:
     """``how.reduceat`` over each text's tokens; texts without tokens get ``empty``."""
     out = np.full((len(places) - 1, *values.shape[1:]), empty, dtype=values.dtype)

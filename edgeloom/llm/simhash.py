@@ -28,15 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm import nearcopies
-from edgeloom.llm.common import materialize, small_batches, spare
+from edgeloom.llm.common import majority, materialize, small_batches, spare
 from edgeloom.llm.components import components
 
 #: Seed of the shingle hash (fixed by the contract).
 SEED = 42
 #: A key with more fingerprints than this is not paired but linked through one-bit changes.
 HOT_KEY = 24
-#: Hashes whose bits are counted at a time.
-AT_ONCE = 1 << 18
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -44,12 +42,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if not words:
         return 0
     runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), AT_ONCE):
-        bits = np.unpackbits(hashes[i : i + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, text_column: str = "text", shingle: int = 3) -> DataFrame:
@@ -122,9 +115,8 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     return rows.join(class_of, "simhash")
 
 
-def candidates(texts: DataFrame, shingle: int, distance: int = 2, blocks: int = 5) -> DataFrame:
-    """(a, b) of (node, text): texts of equal or close fingerprints, each print's texts by way of its least one."""
-    prints = materialize(fingerprints(texts, "text", shingle).distinct(), "prints")
+def candidates(prints: DataFrame, distance: int = 2, blocks: int = 5) -> DataFrame:
+    """(a, b) of written (node, simhash): nodes of equal or close fingerprints, each print's nodes by way of its least one."""
     least = materialize(prints.groupBy("simhash").agg(F.min("node").alias("least")), "least")
     equal = prints.join(least, "simhash").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     near = links(least.select("simhash"), distance, blocks).toDF("x", "y")
@@ -137,12 +129,12 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """One document of each component: that with the least id (null ids last, then the least text hash).
 
     With ``similar``, texts are linked where the Jaccard similarity of their
-    shingle sets is four fifths or more: close fingerprints give the first
-    candidates, all of them are checked exactly, and ``nearcopies`` adds the
-    pairs whose fingerprints lie further apart.
+    shingle sets is four fifths or more: fingerprints within ``distance`` bits
+    give the first candidates, ``nearcopies`` adds those that lie further apart,
+    and all are held against their fingerprints and then checked exactly.
     """
     if similar:
-        return nearcopies.dedup(docs, id_column, text_column, shingle, lambda texts: candidates(texts, shingle, distance, blocks))
+        return nearcopies.dedup(docs, id_column, text_column, shingle, lambda prints: candidates(prints, distance, blocks))
     mark, other, kept_mark = spare(docs, "_hash", "_id", "_kept")
     tagged = docs.withColumn(mark, F.xxhash64(F.col(text_column)))
     light = tagged.select(F.col(id_column).alias("id"), F.col(mark).alias("hash"), F.col(text_column).alias("text"))
