@@ -17,6 +17,8 @@ from edgeloom.storage import materialize, workdir  # noqa: F401  (operators take
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Text bytes that a Python worker handles at a time.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Bytes that an operator remembers in a Python worker.
 MEMO_BYTES = 64 << 20
 
@@ -48,6 +50,18 @@ def held_out(doc_id: Column) -> Column:
     return ~learnable(doc_id)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends texts to Python ``BATCH_ROWS`` rows at a time from now on, or fewer if it does already.
+
+    Both sides hold a batch or two of each running task outside the heap, and
+    Spark's 10,000 rows of text are far more than Python handles at a time.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def small_batches(batches, most: int = CHUNK_BYTES):
     """Halve Arrow batches until each holds at most ``most`` bytes or one row, and give back what the last one needed."""
     for batch in batches:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import Ranges, record_batch, small_batches, spare
+from edgeloom.llm.common import Ranges, record_batch, short_batches, small_batches, spare
 
 BUCKETS = 128
 #: Places of the three bytes in a window of five, and odd multipliers that mix them.
@@ -97,7 +97,7 @@ def digests(docs: DataFrame, text_column: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.string())], names=[*batch.schema.names[:-1], "fingerprint"])
 
     data = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias(text))
-    return data.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias("fingerprint")).schema)
+    return short_batches(data).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias("fingerprint")).schema)
 
 
 def edited(text: str, after: str) -> str:
@@ -159,9 +159,9 @@ def compared(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             yield record_batch(dict(zip(schema.names, [[x] for x in pair(last, first)])), schema)
 
     data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).select("i", "t", *ranges.ties(F.col("t")))
-    dealt = data.mapInArrow(route, "part int, extra boolean, i long, t string").repartitionById(parts, F.col("part"))
+    dealt = short_batches(data).mapInArrow(route, "part int, extra boolean, i long, t string").repartitionById(parts, F.col("part"))
     ordered = ranges.sorted(dealt, "part", "extra")
-    got = ordered.mapInArrow(follow, "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    got = short_batches(ordered).mapInArrow(follow, "i long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return got.withColumnRenamed("i", id_column)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import held_out, learnable, record_batch, small_batches
+from edgeloom.llm.common import held_out, learnable, record_batch, short_batches, small_batches
 
 NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Characters parsed in one go.
@@ -269,7 +269,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
             langs, score = model.decide(model.count(batch.column(1).to_pylist()))
             yield record_batch({"i": batch.column(0), "lang_pred": langs, "score": score}, schema)
 
-    return data.mapInArrow(run, "i long, lang_pred string, score double").withColumnRenamed("i", id_column)
+    return short_batches(data).mapInArrow(run, "i long, lang_pred string, score double").withColumnRenamed("i", id_column)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import majority, materialize, small_batches, spare
+from edgeloom.llm.common import majority, materialize, short_batches, small_batches, spare
 from edgeloom.llm.components import components
 
 #: Texts of the sample, and how many of its frequent runs a worker knows.
@@ -70,7 +70,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "n", "hashes"])
 
-    return texts.mapInArrow(run, "node long, n int, hashes array<int>")
+    return short_batches(texts).mapInArrow(run, "node long, n int, hashes array<int>")
 
 
 def _prefixes(texts: DataFrame, shingle: int, common, whole: bool = False) -> DataFrame:
@@ -88,7 +88,7 @@ def _prefixes(texts: DataFrame, shingle: int, common, whole: bool = False) -> Da
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], names=["node", "n", "simhash", "hashes"])
 
-    return texts.mapInArrow(run, "node long, n int, simhash long, hashes array<long>")
+    return short_batches(texts).mapInArrow(run, "node long, n int, simhash long, hashes array<long>")
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm import nearcopies
-from edgeloom.llm.common import majority, materialize, small_batches, spare
+from edgeloom.llm.common import majority, materialize, short_batches, small_batches, spare
 from edgeloom.llm.components import components
 
 #: Seed of the shingle hash (fixed by the contract).
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text_column: str = "text", shingle: int = 3) -
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], names=[*batch.schema.names[:-1], "simhash"])
 
     data = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_column).alias(text))
-    return data.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("simhash")).schema)
+    return short_batches(data).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias("simhash")).schema)
 
 
 def masks(blocks: int, distance: int) -> list[int]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialize, record_batch, small_batches, spare
+from edgeloom.llm.common import materialize, record_batch, short_batches, small_batches, spare
 
 END = re.compile(r"([.!?]+ +|\n+)")
 SPACE = re.compile(r"[ \t\n\r\f\x0b]+")
@@ -80,7 +80,7 @@ def repeated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """(id, text_hash, spans): the spans (start, length) of each document that stand elsewhere before."""
     data = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("t"))
     kinds = "id long, text_hash long, start int, length int, a long, b long, again boolean"
-    all_spans = materialize(data.mapInArrow(_hashed(least_words), kinds), "spans")
+    all_spans = materialize(short_batches(data).mapInArrow(_hashed(least_words), kinds), "spans")
     first = all_spans.groupBy("a", "b").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("a", "b", "first")
     later = all_spans.where(~F.col("again")).join(first, ["a", "b"]).where("id > first")
     gone = later.select("id", "text_hash", "start", "length").unionAll(all_spans.where("again").select("id", "text_hash", "start", "length"))
@@ -120,7 +120,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
     none = F.array().cast("array<struct<start:int,length:int>>")
     shape = rest.withColumns({"n_sentences": F.lit(None).cast("long"), "n_removed": F.lit(None).cast("long"), "removed": F.when(F.lit(False), none)})
-    return met.select(*[F.col(f"`{c}`") for c in columns], s).mapInArrow(run, shape.schema)
+    return short_batches(met.select(*[F.col(f"`{c}`") for c in columns], s)).mapInArrow(run, shape.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

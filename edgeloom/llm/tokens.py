@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from edgeloom.llm.common import Ranges, Remembered, gather, held, record_batch, small_batches
+from edgeloom.llm.common import Ranges, Remembered, gather, held, record_batch, short_batches, small_batches
 
 #: Words in one call of the library.
 WORDS_A_CALL = 500
@@ -128,9 +128,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     ranges = Ranges(docs, id_column, text_column, rows_per_part, bytes_per_part)
     data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).select("i", "t", *ranges.ties(F.col("t")))
-    dealt = ranges.sorted(data.mapInArrow(_router(ranges), "part int, i long, t string").repartitionById(len(ranges), F.col("part")), "part")
+    dealt = ranges.sorted(short_batches(data).mapInArrow(_router(ranges), "part int, i long, t string").repartitionById(len(ranges), F.col("part")), "part")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField(id_column, T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    writer = dealt.mapInArrow(_encoder(tokenizer_path, end_id, id_column), schema).write.mode("errorifexists")
+    writer = short_batches(dealt).mapInArrow(_encoder(tokenizer_path, end_id, id_column), schema).write.mode("errorifexists")
     settings = {
         "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 1000, "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd",
@@ -200,4 +200,4 @@ def _summed(id_column: str):
 def digest(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32), all computed from the ids that the files hold."""
     rows = read_tokens(spark, path, id_column=id_column).select(id_column, "start", "ids")
-    return rows.mapInArrow(_summed(id_column), f"`{id_column}` long, start long, n_tokens long, ids_crc32 long")
+    return short_batches(rows).mapInArrow(_summed(id_column), f"`{id_column}` long, start long, n_tokens long, ids_crc32 long")

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import Remembered, coded_tokens, held, held_out, learnable, reduce_texts, small_batches, spare
+from edgeloom.llm.common import Remembered, coded_tokens, held, held_out, learnable, reduce_texts, short_batches, small_batches, spare
 
 #: Weight of a character that an occurrence spans.
 DECAY = 0.85
@@ -374,7 +374,7 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text", score_colum
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(best))], names=[*batch.schema.names, score_column])
 
     data = docs.select(*[F.col(f"`{c}`") for c in names])
-    return data.mapInArrow(run, data.withColumn(score_column, F.lit(0.0)).schema)
+    return short_batches(data).mapInArrow(run, data.withColumn(score_column, F.lit(0.0)).schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import materialize, record_batch, small_batches
+from edgeloom.llm.common import materialize, record_batch, short_batches, small_batches
 
 #: Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -130,7 +130,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
             first = []
             yield record_batch({"value": out}, schema)
 
-    frames = placed.mapInArrow(run, "value binary")
+    frames = short_batches(placed).mapInArrow(run, "value binary")
     frames.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).text(path)
     if not rename:
         return
