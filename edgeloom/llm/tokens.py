@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 from edgeloom.llm.common import Ranges, Remembered, gather, held, record_batch, short_batches, small_batches
 
+#: Bytes of words and their ids that a worker remembers: each word left out costs a call of the library.
+MEMO_BYTES = 192 << 20
 #: Words in one call of the library.
 WORDS_A_CALL = 500
 
@@ -40,12 +42,12 @@ class Encoder:
     tokenizers encode whole texts as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         # a Spark task has one core; the library's own threads would only contend for it
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), Remembered(self._new, np.int32)
+        self.tokenizer, self.memo = Tokenizer.from_file(path), Remembered(self._new, np.int32, most_bytes=memo_bytes)
         alone = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = alone(" \n ") == [] and alone("ab cd\nef") == alone("ab") + alone("cd") + alone("ef") and alone(" gh") == alone("gh")
         vocabulary = self.tokenizer.get_vocab()
@@ -54,9 +56,9 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, memo_bytes: int = MEMO_BYTES) -> Encoder:
         """One encoder a worker process: later tasks find the words of earlier ones."""
-        return held(("encoder", path), lambda: cls(path))
+        return held(("encoder", path, memo_bytes), lambda: cls(path, memo_bytes))
 
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Let the library encode words; those of letters only go many to a call, as each ends with one marked id."""
@@ -103,11 +105,11 @@ class Encoder:
         return np.insert(ids, stops, end_id), np.diff(stops, prepend=0) + 1
 
 
-def _encoder(path: str, end_id: int, id_column: str):
+def _encoder(path: str, end_id: int, id_column: str, memo_bytes: int):
     schema = pa.schema([("part", pa.int32()), (id_column, pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        encoder, part, before = Encoder.of(path), None, 0
+        encoder, part, before = Encoder.of(path, memo_bytes), None, 0
         for batch in small_batches(batches):
             ids, counts = encoder.encode(batch.column(2), end_id)
             starts = []
@@ -123,14 +125,17 @@ def _encoder(path: str, end_id: int, id_column: str):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 20_000, bytes_per_part: int = 64 << 20, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10) -> None:
-    """Write ``docs`` under ``path``: ``tokens`` (one ordered file a part) and ``index`` (part, rows, tokens, start)."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 20_000, bytes_per_part: int = 64 << 20, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, memo_bytes: int = MEMO_BYTES) -> None:
+    """Write ``docs`` under ``path``: ``tokens`` (one ordered file a part) and ``index`` (part, rows, tokens, start).
+
+    ``memo_bytes`` is what a worker remembers of words: it trades memory for time.
+    """
     spark = docs.sparkSession
     ranges = Ranges(docs, id_column, text_column, rows_per_part, bytes_per_part)
     data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).select("i", "t", *ranges.ties(F.col("t")))
     dealt = ranges.sorted(short_batches(data).mapInArrow(_router(ranges), "part int, i long, t string").repartitionById(len(ranges), F.col("part")), "part")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField(id_column, T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    writer = short_batches(dealt).mapInArrow(_encoder(tokenizer_path, end_id, id_column), schema).write.mode("errorifexists")
+    writer = short_batches(dealt).mapInArrow(_encoder(tokenizer_path, end_id, id_column, memo_bytes), schema).write.mode("errorifexists")
     settings = {
         "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 1000, "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd",
