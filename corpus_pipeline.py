@@ -36,7 +36,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = workdir(spark, "tokens")
-    tokens.write_tokens(docs, path, str(public_tokenizers.path(TOKENIZER)))
+    # executors that have run the other stages have little memory left
+    tokens.write_tokens(docs, path, str(public_tokenizers.path(TOKENIZER)), memo_bytes=64 << 20)
     return tokens.digest(spark, path)
 
 
