@@ -203,33 +203,35 @@ class Remembered:
     def words(self) -> list[str]:
         return [*self.young, *(w for w in self.old if w not in self.young)]
 
-    def _keep(self, word: str, held: bytes) -> None:
-        if len(word) > self.LONG:
-            return
-        self.young[word] = held
-        self.bytes += len(word) + len(held) + self.OVERHEAD
-        if 2 * self.bytes >= self.most_bytes or 2 * len(self.young) > self.most:
-            self.old, self.young, self.bytes = self.young, {}, 0
+    def _keep(self, words: list[str], found: list[bytes], places: list[int]) -> None:
+        young, size, half, most = self.young, self.bytes, self.most_bytes // 2, self.most // 2
+        for at in places:
+            word, held = words[at], found[at]
+            if len(word) > self.LONG:
+                continue
+            young[word] = held
+            size += len(word) + len(held) + self.OVERHEAD
+            if size >= half or len(young) > most:
+                self.old, self.young, size = young, {}, 0
+                young = self.young
+        self.bytes = size
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat, starts, sizes) of distinct words."""
         words = words.to_pylist()
         found = list(map(self.young.get, words))
-        missing = []
-        for at, held in enumerate(found):
-            if held is None:
-                if (held := self.old.get(words[at])) is None:
-                    missing.append(at)
-                else:
-                    found[at] = held
-                    self._keep(words[at], held)
+        missing, again, old = [], [], self.old
+        for at in [at for at, held in enumerate(found) if held is None]:
+            held = found[at] = old.get(words[at])
+            (missing if held is None else again).append(at)
+        self._keep(words, found, again)
         if missing:
             flat, sizes = self.make([words[at] for at in missing])
             data, width = np.ascontiguousarray(flat, self.dtype).tobytes(), self.dtype.itemsize
             upto = (np.cumsum(sizes) * width).tolist()
             for at, low, high in zip(missing, [0, *upto], upto):
                 found[at] = data[low:high]
-                self._keep(words[at], found[at])
+            self._keep(words, found, missing)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         return np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes, sizes
 

@@ -15,6 +15,7 @@ files without rows; other columns are not written.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -29,8 +30,14 @@ from edgeloom.llm.common import Ranges, Remembered, gather, held, record_batch,
 
 #: Bytes of words and their ids that a worker remembers: each word left out costs a call of the library.
 MEMO_BYTES = 192 << 20
+#: Text bytes that a worker encodes at a time: the words of a larger chunk are met once, not once a smaller one.
+ENCODED_BYTES = 4 << 20
 #: Words in one call of the library.
 WORDS_A_CALL = 500
+#: A letter of the Latin blocks (but U+0130, which lower-cases to two characters) and a mark after it, at the end of a word.
+CLOSED = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af])([.,;:!?]) "
+#: Words without combining marks, of which none composes with a letter: lower-casing A-Z commutes with NFC.
+INERT = "^[\\x00-\u02ff]*$"
 
 
 class Encoder:
@@ -38,8 +45,9 @@ class Encoder:
 
     A tokenizer that drops white space encodes a text as its words in turn.  So
     a column is cut at spaces and newlines, and each distinct word is encoded by
-    the library when first met; its ids are kept for later.  Other
-    tokenizers encode whole texts as they are.
+    the library when first met; its ids are kept for later.  Where the tokenizer
+    parts a word from a closing mark or lower-cases it, so does the cut, which
+    leaves fewer distinct words.  Other tokenizers encode whole texts as they are.
     """
 
     def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
@@ -50,6 +58,11 @@ class Encoder:
         self.tokenizer, self.memo = Tokenizer.from_file(path), Remembered(self._new, np.int32, most_bytes=memo_bytes)
         alone = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.by_word = alone(" \n ") == [] and alone("ab cd\nef") == alone("ab") + alone("cd") + alone("ef") and alone(" gh") == alone("gh")
+        self.parts = self.by_word and all(alone(w + m) == alone(w) + alone(m) for w in ("ab", "\u00e9", "it's") for m in ".,;:!?")
+        steps = (json.loads(self.tokenizer.to_str())["normalizer"] or {})
+        steps = steps.get("normalizers", [steps])
+        known = [{"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+        self.folds = self.by_word and known[1] in steps and all(x in known for x in steps)
         vocabulary = self.tokenizer.get_vocab()
         #: ids that end a stretch of letters, where the vocabulary marks such ends
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
@@ -92,10 +105,18 @@ class Encoder:
         """All ids of the texts, an end id after each, and the number of ids of each."""
         texts = pc.fill_null(texts, "")
         if self.by_word:
-            cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            if texts.nbytes > 1 << 30:
+                texts = texts.cast(pa.large_string())
+            texts = pc.replace_substring(texts, "\n", " ")
+            if self.parts:
+                texts = pc.replace_substring_regex(texts, CLOSED, r"\1 \2 ")
+            cut = pc.split_pattern(texts, " ")
             coded = cut.flatten().dictionary_encode()
-            flat, starts, sizes = self.memo.lookup(coded.dictionary)
-            codes = coded.indices.to_numpy()
+            words, codes = coded.dictionary, coded.indices.to_numpy()
+            if self.folds:
+                coded = pc.if_else(pc.match_substring_regex(words, INERT), pc.ascii_lower(words), words).dictionary_encode()
+                words, codes = coded.dictionary, coded.indices.to_numpy()[codes]
+            flat, starts, sizes = self.memo.lookup(words)
             each = sizes[codes]
             ids, upto = gather(flat, starts[codes], each), np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
             stops = upto[np.cumsum(pc.list_value_length(cut).to_numpy())]
@@ -105,12 +126,12 @@ class Encoder:
         return np.insert(ids, stops, end_id), np.diff(stops, prepend=0) + 1
 
 
-def _encoder(path: str, end_id: int, id_column: str, memo_bytes: int):
+def _encoder(path: str, end_id: int, id_column: str, memo_bytes: int, chunk_bytes: int):
     schema = pa.schema([("part", pa.int32()), (id_column, pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
         encoder, part, before = Encoder.of(path, memo_bytes), None, 0
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, chunk_bytes):
             ids, counts = encoder.encode(batch.column(2), end_id)
             starts = []
             for p, n in zip(batch.column(0).to_pylist(), counts.tolist()):
@@ -125,17 +146,18 @@ def _encoder(path: str, end_id: int, id_column: str, memo_bytes: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 20_000, bytes_per_part: int = 64 << 20, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, memo_bytes: int = MEMO_BYTES) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", rows_per_part: int = 20_000, bytes_per_part: int = 64 << 20, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, memo_bytes: int = MEMO_BYTES, chunk_bytes: int = ENCODED_BYTES) -> None:
     """Write ``docs`` under ``path``: ``tokens`` (one ordered file a part) and ``index`` (part, rows, tokens, start).
 
-    ``memo_bytes`` is what a worker remembers of words: it trades memory for time.
+    ``memo_bytes`` is what a worker remembers of words, ``chunk_bytes`` how much text it
+    encodes at a time: both trade memory for time.
     """
     spark = docs.sparkSession
     ranges = Ranges(docs, id_column, text_column, rows_per_part, bytes_per_part)
     data = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text_column).alias("t")).select("i", "t", *ranges.ties(F.col("t")))
     dealt = ranges.sorted(short_batches(data).mapInArrow(_router(ranges), "part int, i long, t string").repartitionById(len(ranges), F.col("part")), "part")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField(id_column, T.LongType()), T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    writer = short_batches(dealt).mapInArrow(_encoder(tokenizer_path, end_id, id_column, memo_bytes), schema).write.mode("errorifexists")
+    writer = short_batches(dealt).mapInArrow(_encoder(tokenizer_path, end_id, id_column, memo_bytes, chunk_bytes), schema).write.mode("errorifexists")
     settings = {
         "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": 1000, "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20, "compression": "zstd",

@@ -52,6 +52,21 @@ def test_order_and_selective_reads(spark, docs, rows, tmp_path):
             assert column.path_in_schema == "ids.list.element" and column.has_dictionary_page and column.has_column_index
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoder_equals_library_by_letter(path):
+    """Letters whose case, marks or composition could part words otherwise than the library does."""
+    r, letters = random.Random(2), "abAB .,;:!?'’sStTH\n\t\u00a0\u0301\u0331\u0307éÉñÑİıẞßçḈ1٣²-_()中文ǅ𝔄\u2028\x0b#ΣσςΟ"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["it's. İ; H\u0331 a.", "ab.", "ab. "]
+    encoder = tokens.Encoder(path)
+    ids, counts = encoder.encode(pa.array(texts), 1)
+    assert ids.tolist() == [i for t in texts for i in whole_of(encoder.tokenizer, t)]
+    assert counts.tolist() == [len(whole_of(encoder.tokenizer, t)) for t in texts]
+
+
+def whole_of(tokenizer, text):
+    return tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_encoder_equals_library(path):
     r = random.Random(1)
