@@ -37,7 +37,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     path = workdir(spark, "tokens")
     # executors that have run the other stages have little memory left
-    tokens.write_tokens(docs, path, str(public_tokenizers.path(TOKENIZER)), memo_bytes=64 << 20)
+    tokens.write_tokens(docs, path, str(public_tokenizers.path(TOKENIZER)), memo_bytes=64 << 20, chunk_bytes=1 << 20)
     return tokens.digest(spark, path)
 
 
