@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from bisect import bisect_left, bisect_right
 
@@ -74,6 +75,13 @@ def small_batches(batches, most: int = CHUNK_BYTES):
             elif b.num_rows:
                 yield b
                 pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: it else stays with an idle worker."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -244,6 +252,7 @@ def held(key, make):
     """What ``make`` gave for ``key`` when this worker first asked; another key's is dropped, so operators don't add up."""
     if key not in _HELD:
         _HELD.clear()
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 
