@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import Remembered, coded_tokens, held, held_out, learnable, reduce_texts, short_batches, small_batches, spare
+from edgeloom.llm.common import MEMO_BYTES, Remembered, coded_tokens, held, held_out, learnable, reduce_texts, short_batches, small_batches, spare
 
 #: Weight of a character that an occurrence spans.
 DECAY = 0.85
@@ -348,8 +348,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return Model(*[[t for _, t in sorted(texts[k])[:docs_per_class]] for k in (1, 0)], landmarks=landmarks)
 
 
-def scored(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "toxicity") -> DataFrame:
-    """``docs`` with a score (0 to 1) of each whole text; a column of that name is replaced."""
+def scored(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "toxicity", memo_bytes: int = MEMO_BYTES) -> DataFrame:
+    """``docs`` with a score (0 to 1) of each whole text; a column of that name is replaced.
+
+    ``memo_bytes`` is what a worker remembers of words: it trades memory for time.
+    """
     share = float(model.share)
     if model.kernel is None:
         return docs.withColumn(score_column, F.lit(share))
@@ -360,7 +363,7 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text", score_colum
 
     def run(batches):
         model = shared.value
-        memo = held(("toxicity", key), lambda: Remembered(lambda words: (model.margins(words), np.ones(len(words), np.int64)), np.float64))
+        memo = held(("toxicity", key), lambda: Remembered(lambda words: (model.margins(words), np.ones(len(words), np.int64)), np.float64, most_bytes=memo_bytes))
         for batch in small_batches(batches):
             texts = batch.column(at)
             tokens, codes, places = coded_tokens(texts, lower=True)
@@ -377,10 +380,10 @@ def scored(docs: DataFrame, model: Model, text_column: str = "text", score_colum
     return short_batches(data).mapInArrow(run, data.withColumn(score_column, F.lit(0.0)).schema)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, memo_bytes: int = MEMO_BYTES, **options) -> DataFrame:
     """Documents that score below ``threshold``."""
     score = spare(docs, "toxicity")[0]
-    got = scored(docs, fit(docs, labels, **options), score_column=score).where(F.col(score) < threshold)
+    got = scored(docs, fit(docs, labels, **options), score_column=score, memo_bytes=memo_bytes).where(F.col(score) < threshold)
     return got.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
