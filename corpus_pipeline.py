@@ -10,10 +10,13 @@ from edgeloom.llm import decontaminate, mixing, simhash, tokens, toxicity
 from edgeloom.llm.common import table, workdir
 from edgeloom.llm.queries import TOKENIZER
 
+#: What a Python worker remembers of words: executors that have run other stages have little memory left.
+MEMO_BYTES = 24 << 20
+
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on ``labels``, doesn't reject."""
-    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"), memo_bytes=MEMO_BYTES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +39,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     path = workdir(spark, "tokens")
-    # executors that have run the other stages have little memory left
-    tokens.write_tokens(docs, path, str(public_tokenizers.path(TOKENIZER)), memo_bytes=64 << 20, chunk_bytes=1 << 20)
+    tokens.write_tokens(docs, path, str(public_tokenizers.path(TOKENIZER)), memo_bytes=MEMO_BYTES, chunk_bytes=1 << 20)
     return tokens.digest(spark, path)
 
 
