@@ -97,8 +97,8 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
     none = some.sparkSession.sparkContext.broadcast((np.array([], np.int64), np.array([], np.int64)))
     counts = _prefixes(some, shingle, none, whole=True).select(F.explode("hashes").alias("h")).groupBy("h").count().where("count >= 3")
-    rows = sorted((r.h, r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect())
-    return np.array([h for h, _ in rows], dtype=np.int64), np.array([c for _, c in rows], dtype=np.int64)
+    found = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toArrow().sort_by("h")
+    return found["h"].to_numpy(), found["count"].to_numpy()
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -140,8 +140,11 @@ def links(texts: DataFrame, shingle: int = 5, candidates=None) -> DataFrame:
     now = members.select("key", "node", "n", "at").join(small(components(first).toDF("node", "root")), "node", "left")
     now = now.select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
     left = now.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).where("low < high").drop("low", "high")
+    left = materialize(left.join(prints, "node"), "left")
     x, y = left.where("at <= n div 9").alias("x"), left.alias("y")
     other = F.expr("x.root <> y.root and (x.n < y.n or x.n = y.n and x.node < y.node)") & alike("x.", "y.")
+    # held against their fingerprints where they meet, so that no row is made of a pair too far apart
+    other = other & F.expr(f"bit_count(x.simhash ^ y.simhash) <= {FARTHEST}")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     return first.unionAll(checked(pairs.join(small(first), ["a", "b"], "left_anti"))).distinct()
 

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import MEMO_BYTES, Remembered, coded_tokens, held, held_out, learnable, reduce_texts, short_batches, small_batches, spare
+from edgeloom.llm.common import MEMO_BYTES, Remembered, coded_tokens, give_back, held, held_out, learnable, reduce_texts, short_batches, small_batches, spare
 
 #: Weight of a character that an occurrence spans.
 DECAY = 0.85
@@ -260,7 +260,8 @@ class Model:
 
     def __init__(self, toxic: list[str], clean: list[str], landmarks: int = 64, rounds: int = 3, seed: int = 7):
         self.kernel, self.share = None, len(toxic) / max(1, len(toxic) + len(clean))
-        bags = [unlike([sentences(t) for t in texts]) for texts in (toxic, clean)]
+        one: dict[str, str] = {}  # each distinct unit is held once
+        bags = [unlike([[[one.setdefault(u, u) for u in s] for s in sentences(t)] for t in texts]) for texts in (toxic, clean)]
         if not any(bags[0]) or not any(bags[1]):
             return
         rng = np.random.default_rng(seed)
@@ -342,10 +343,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     # rows of one id meet in one text before anything is collected: four times docs_per_class of them
     found = whole.join(F.broadcast(ids), F.col("i") == F.col("_id"), "left_semi").groupBy("i").agg(F.min("t").alias("t"))
     texts: list[list[tuple]] = [[], []]
-    for r in found.collect():
-        kind, n = picked[r.i]
-        texts[kind].append((n, r.t))
-    return Model(*[[t for _, t in sorted(texts[k])[:docs_per_class]] for k in (1, 0)], landmarks=landmarks)
+    found = found.toArrow()
+    for i, t in zip(found["i"].to_pylist(), found["t"]):
+        kind, n = picked[i]
+        texts[kind].append((n, t.as_py()))
+    model = Model(*[[t for _, t in sorted(texts[k])[:docs_per_class]] for k in (1, 0)], landmarks=landmarks)
+    del texts, found
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "toxicity", memo_bytes: int = MEMO_BYTES) -> DataFrame:
