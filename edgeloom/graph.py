@@ -104,6 +104,13 @@ class ImportGraph:
         row = self.frames.modules.where(F.col("name") == module).select("is_squashed").first()
         return None if row is None else row.is_squashed
 
+    def _present(self, wanted: Iterable[str]) -> set[str]:
+        """Those of a user's names that are modules, looked up in one job."""
+        wanted = set(wanted)
+        if self._squashed is not None:
+            return wanted & self._squashed.keys()
+        return _names_of(self.frames.modules.where(F.col("name").isin(sorted(wanted))).select("name")) if wanted else set()
+
     def _need(self, *modules: str, error: type[Exception] = ModuleNotPresent) -> None:
         for m in modules:
             if self._flag(m) is None:
@@ -298,10 +305,12 @@ class ImportGraph:
         Layers stand from high to low; those that the graph lacks are passed
         over.  With containers, the names are relative to each of them.
         """
-        for c in containers or ():
-            if not self.contains_module(c):
+        containers = sorted(containers or ())
+        known = self._present(containers)
+        for c in containers:
+            if c not in known:
                 raise NoSuchContainer(f"Container {c} does not exist.")
-        self._check_apart([Layer.of(x) for x in layers], containers or ())
+        self._check_apart([Layer.of(x) for x in layers], containers)
         found: dict[tuple[str, str], set[Route]] = {}
         for r in self.find_illegal_dependencies_for_layers_df(layers, containers).collect():
             found.setdefault((r.importer, r.imported), set()).add(Route.new(r.heads, r.tails, r.middle))
@@ -310,12 +319,11 @@ class ImportGraph:
     def _check_apart(self, levels: list[Layer], containers: Iterable[str]) -> None:
         """No layer may lie in another that it may not import, or may not be imported by."""
         placed = [(i, t, x.independent) for i, x in enumerate(levels) for t in sorted(x.module_tails)]
-        for i, outer, independent in placed:
-            for j, inner, _ in placed:
-                if inner.startswith(outer + ".") and (i != j or independent):
-                    for c in sorted(containers) or [None]:
-                        if all(self.contains_module(f"{c}.{t}" if c else t) for t in (outer, inner)):
-                            raise ValueError("Modules have shared descendants.")
+        nested = [(outer, inner) for i, outer, independent in placed for j, inner, _ in placed if inner.startswith(outer + ".") and (i != j or independent)]
+        pairs = [tuple(f"{c}.{t}" if c else t for t in pair) for pair in nested for c in sorted(containers) or [None]]
+        known = self._present(m for pair in pairs for m in pair)
+        if any(known.issuperset(pair) for pair in pairs):
+            raise ValueError("Modules have shared descendants.")
 
     def nominate_cycle_breakers_df(self, package: str) -> DataFrame:
         return cycles.cycle_breakers(self.frames, package)

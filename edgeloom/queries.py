@@ -44,7 +44,7 @@ def query(sql: str | None = None, with_graph: bool = True, recursive: bool = Fal
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = (f"with {'recursive ' if recursive else ''}{GRAPH}{'' if sql.lstrip().startswith(',') else ''}\n{sql}" if with_graph else sql)
+            ORACLES[f.__name__] = (f"with {'recursive ' if recursive else ''}{GRAPH}\n{sql}" if with_graph else sql)
         return f
 
     return add

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def workdir(spark: SparkSession, what: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; only sessions without that setting get a temporary folder."""
+    """A fresh path under ``spark.checkpoint.dir``; local sessions without that setting get a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="edgeloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -176,4 +176,5 @@ def test_values():
     with pytest.raises(ValueError):
         Module("a").parent
     assert str(DirectImport(importer=m, imported=Module("x"), line_number=3, line_contents="import x")) == "a.b.c -> x (l. 3)"
+    assert hash(Layer("a", "b")) == hash(Layer("b", "a")) and {Layer("a")} == {Layer("a")} and Layer("a") != Layer("a", closed=True)
     assert str(Layer("b", "a", closed=True)) == "['a', 'b'], independent=True, closed=True"
