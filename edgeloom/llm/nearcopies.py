@@ -14,9 +14,15 @@ members, and their fingerprints differ in 10 bits on the average (standard
 deviation 3), so pairs at over ``FARTHEST`` bits are none: that rules out most
 before any set is read again, and sets are made only of the texts that are left.
 
-The members of a key are first held against its least member.  What that leaves
-apart is then compared in full, but for pairs that are already of one component:
-a large group of copies of one text is linked in proportion to its size.
+The members of a key are first held against at most three of it: the least, the
+one with the fewest rarer runs and one by hash, which links a large group of
+copies in proportion to its size.  Of what that leaves in different components,
+texts stay that share as many keys as near copies must (what one lacks of the
+other can't fill the rest of its prefix).  Their prefixes are made anew, in an
+order by what all of them hold: runs of one component alone come first and make
+no key, so texts with enough of their own meet nothing, and the rest is compared
+in full.  Texts that are much alike, but not by four fifths, hang together in no
+component and have few runs of their own still make pairs in the square of their number.
 
 Edge cases: texts are told apart by a 64-bit hash; null texts are like each
 other, and so are texts without words; fewer words than a shingle are one
@@ -113,40 +119,74 @@ def links(texts: DataFrame, shingle: int = 5, candidates=None) -> DataFrame:
     # copies of a text meet here, before their keys are dealt out
     first_of = [F.first(c).alias(c) for c in ("n", "simhash", "hashes")]
     prefixes = materialize(_prefixes(texts, shingle, common).groupBy("node").agg(*first_of), "prefixes")
-    prints = small(prefixes.select("node", "simhash"))
-    keyed, key = prefixes.select("node", "n", F.posexplode("hashes").alias("at", "key")), Window.partitionBy("key")
-    members = keyed.withColumn("least", F.min(F.struct("node", "n", "at")).over(key)).withColumn("most", F.max("node").over(key)).where("least.node < most")
-    members = materialize(members.select("key", "node", "n", "at", "least"), "members")
-
-    def alike(x: str, y: str) -> Column:
-        """Whether sets of sizes ``n`` that first meet at places ``at`` may hold enough in common."""
-        n, m = f"{x}n", f"{y}n"
-        return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and 9 * least({n} - {x}at, {m} - {y}at) >= 4 * ({n} + {m})")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        for x in "ab":
-            pairs = pairs.join(prints.toDF(x, f"p{x}"), x)
-        pairs = materialize(pairs.where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= FARTHEST).select("a", "b"), "pairs")
-        nodes = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        held = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-        sets = materialize(_sets(held, shingle), "sets")
-        a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
-        return materialize(both.where("9 * size(array_intersect(ha, hb)) >= 4 * (na + nb)").select("a", "b"), "links")
-
-    tried = members.where(F.col("least.node") < F.col("node")).where(alike("", "least.")).select(F.col("least.node").alias("a"), F.col("node").alias("b"))
-    first = checked(tried if candidates is None else tried.unionAll(candidates(prefixes.select("node", "simhash"))))
-    now = members.select("key", "node", "n", "at").join(small(components(first).toDF("node", "root")), "node", "left")
-    now = now.select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    left = now.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).where("low < high").drop("low", "high")
-    left = materialize(left.join(prints, "node"), "left")
-    x, y = left.where("at <= n div 9").alias("x"), left.alias("y")
-    other = F.expr("x.root <> y.root and (x.n < y.n or x.n = y.n and x.node < y.node)") & alike("x.", "y.")
-    # held against their fingerprints where they meet, so that no row is made of a pair too far apart
-    other = other & F.expr(f"bit_count(x.simhash ^ y.simhash) <= {FARTHEST}")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & other).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return first.unionAll(checked(pairs.join(small(first), ["a", "b"], "left_anti"))).distinct()
+    keyed, key = prefixes.select("node", "n", "simhash", F.posexplode("hashes").alias("at", "key")), Window.partitionBy("key")
+    member, turn = F.struct("node", "n", "at", "simhash"), F.xxhash64("node", "key")
+    two = F.struct(F.min_by(member, F.struct("at", turn)).over(key).alias("low"), F.max_by(member, turn).over(key).alias("high"))
+    members = keyed.withColumn("least", F.min(member).over(key)).withColumn("size", F.count(F.lit(1)).over(key)).withColumn("two", two).where("size > 1")
+    centres = F.when(F.col("size") > 2, F.array_distinct(F.array("least", "two.low", "two.high"))).otherwise(F.array("least"))
+    members = materialize(members.select("key", "node", "n", "at", "simhash", "size", centres.alias("centres")), "members")
+    pair = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+
+    tried = members.select(F.struct("node", "n", "at", "simhash").alias("x"), F.explode(F.expr("filter(centres, c -> c.node <> node)")).alias("y")).where(_alike("x.", "y.")).select(*pair)
+    tried = (tried if candidates is None else tried.unionAll(candidates(prefixes.select("node", "simhash")))).distinct()
+    tried = materialize(tried, "pairs")
+    nodes = small(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = materialize(_sets(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), shingle), "sets")
+    first = _held(tried, sets)
+
+    # centres have met all of their keys' members, and so have those of two
+    left = members.where("size > 2 and not array_contains(centres.node, node)").select("key", "node", "n", "at", "simhash")
+    left = left.join(small(components(first).toDF("node", "root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = left.withColumn("low", F.min("root").over(key)).withColumn("high", F.max("root").over(key)).where("low < high").drop("low", "high")
+    left = materialize(left, "left")
+    x, y = left.alias("x"), left.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & F.expr("x.root <> y.root")
+    left = x.join(y, met & _near("x.", "y."), "left_semi")
+    left = materialize(left.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("node"))), "left")
+    x, y = left.alias("x"), left.alias("y")
+    # near copies share so many keys of their prefixes at least, and each of them has stayed for both
+    many = F.expr("9 * (least(x.c, y.c) - 1 - greatest(x.n, y.n) div 5 + greatest(x.n, y.n)) >= 4 * (x.n + y.n)")
+    still = materialize(x.join(y, met & many & _alike("x.", "y."), "left_semi").select("node", "root").distinct(), "still")
+    if still.isEmpty():
+        return first
+    still = small(still)
+    held = texts.join(still.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(_prefixes(held, shingle, common, whole=True), "sets")
+    keys = materialize(_rare(sets.join(still, "node")), "keys")
+    x, y = keys.alias("x"), keys.alias("y")
+    met = (F.col("x.key") == F.col("y.key")) & F.expr("x.root <> y.root and (x.n < y.n or x.n = y.n and x.node < y.node)") & _alike("x.", "y.")
+    return first.unionAll(_held(materialize(x.join(y, met).select(*pair).distinct(), "pairs"), sets)).distinct()
+
+
+def _near(x: str, y: str) -> Column:
+    """Whether sets of sizes ``n`` may be near copies by these and their fingerprints."""
+    n, m = f"{x}n", f"{y}n"
+    return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and bit_count({x}simhash ^ {y}simhash) <= {FARTHEST}")
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether such sets that first meet at places ``at`` may hold enough in common."""
+    n, m = f"{x}n", f"{y}n"
+    return F.expr(f"9 * least({n} - {x}at, {m} - {y}at) >= 4 * ({n} + {m})") & _near(x, y)
+
+
+def _held(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct written ``pairs`` (a, b) that are near copies by their ``sets``."""
+    a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    return materialize(both.where("9 * size(array_intersect(ha, hb)) >= 4 * (na + nb)").select("a", "b"), "links")
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """(key, node, n, at, simhash, root): each set's prefix where runs of one ``root`` alone come first, then those that few sets hold.
+
+    The former make no key: a set that has enough of them meets nothing.
+    """
+    runs = sets.select("node", "n", "simhash", "root", F.explode("hashes").alias("h"))
+    shared = runs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "c")
+    ranked = runs.join(shared, "h").groupBy("node", "n", "simhash", "root").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("s"))
+    ranked = ranked.withColumn("own", F.expr("n - size(s)")).where("own <= n div 5")
+    return ranked.select(F.posexplode(F.expr("slice(s, 1, n div 5 + 1 - own)")).alias("i", "k"), "node", "n", "own", "simhash", "root").select(F.col("k.h").alias("key"), "node", "n", F.expr("own + i").alias("at"), "simhash", "root")
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, candidates=None) -> DataFrame:

@@ -61,3 +61,21 @@ def test_pipeline_drops_near_copies(spark):
             break
         now = stage(spark, now, "")
     assert sorted(x.doc_id for x in now.collect()) == [1, 3]
+
+
+def test_a_large_group_makes_no_square_of_pairs(spark, monkeypatch):
+    r, rows, made = random.Random(5), [], []
+    base = "".join(sentence(r, 10) for _ in range(15)).split()
+    for _ in range(400):
+        rows.append((len(rows), edited(r, base, r.randint(1, 6))))  # alike by 0.6 to 0.95, one by one
+    kept = nearcopies.materialize
+
+    def counted(df, what):
+        out = kept(df, what)
+        made.append(out.count() if what == "pairs" else 0)
+        return out
+
+    monkeypatch.setattr(nearcopies, "materialize", counted)
+    got = nearcopies.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id for x in got.collect()), key=str) == plain_kept(rows)
+    assert sum(made) < 20 * len(rows)
