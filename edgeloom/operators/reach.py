@@ -7,7 +7,10 @@ each round written to the shared folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +43,16 @@ def shipped(imports: DataFrame):
     return graph
 
 
-def find_reach(imports: DataFrame, starts: DataFrame, upstream: bool = True, strategy: str = "auto", kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def find_reach(imports: DataFrame, starts: DataFrame, upstream: bool = True, strategy: str = "auto", kernel_edges: int = KERNEL_EDGES, stop_at: DataFrame | None = None) -> DataFrame:
     """(group, name) behind each group's ``starts`` (group, name), without the starts.
 
-    ``upstream`` follows imports, else their reverse.
+    ``upstream`` follows imports, else their reverse.  With ``stop_at`` (group,
+    name), a group goes no further than the first level that meets it.
     """
+    imports = materialize(imports.select("importer", "imported"), "imports")  # read once a round otherwise
     if strategy == "kernel" or strategy == "auto" and fits(imports, kernel_edges):
         return _by_kernel(imports, starts, upstream)
-    return _by_rounds(imports, starts, upstream)
+    return _by_rounds(imports, starts, upstream, stop_at=stop_at)
 
 
 def _by_kernel(imports: DataFrame, starts: DataFrame, upstream: bool) -> DataFrame:
@@ -60,28 +65,48 @@ def _by_kernel(imports: DataFrame, starts: DataFrame, upstream: bool) -> DataFra
     return starts.select(F.col("group").cast("long").alias("group"), "name").groupBy("group").applyInArrow(run, "group long, name string")
 
 
-def _by_rounds(imports: DataFrame, starts: DataFrame, upstream: bool, barred: DataFrame | None = None) -> DataFrame:
+def _by_rounds(imports: DataFrame, starts: DataFrame, upstream: bool, barred: DataFrame | None = None, stop_at: DataFrame | None = None) -> DataFrame:
+    found = levels(imports, starts, upstream, barred, stop_at)
+    return union([x.select("group", "name") for x in found[1:] or [found[0].limit(0)]])
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
+
+
+def levels(imports: DataFrame, starts: DataFrame, upstream: bool, barred: DataFrame | None = None, stop_at: DataFrame | None = None) -> list[DataFrame]:
+    """(group, name, met) of each level of the rounds, the starts first; ``met`` tells names of ``stop_at``, whose group ends there.
+
+    Nothing but a row a group reaches the driver: the edges lie partitioned and
+    sorted, and what is new in a level is found by one aggregation, so no join
+    is left that could be a broadcast.
+    """
     a, b = ("importer", "imported") if upstream else ("imported", "importer")
-    edges = imports.select(F.col(a).alias("name"), F.col(b).alias("next"))
-    first = materialize(starts.select(F.col("group").cast("long").alias("group"), "name").distinct(), "starts")
-    seen = [first]
-    level = first
-    while True:
-        ahead = level.join(edges, "name").select("group", F.col("next").alias("name")).distinct()
-        if barred is not None:
-            ahead = ahead.join(barred, ["group", "name"], "left_anti")
-        for met in seen:
-            ahead = ahead.join(met, ["group", "name"], "left_anti")
-        level = materialize(ahead, "level")
-        if level.isEmpty():
-            break
-        seen.append(level)
-        if len(seen) > 8:  # keep the number of anti joins of a round bounded
-            whole = seen[1]
-            for s in seen[2:]:
-                whole = whole.unionAll(s)
-            seen = [first, materialize(whole, "seen")]
-    found = seen[1] if len(seen) > 1 else first.limit(0)
-    for s in seen[2:]:
-        found = found.unionAll(s)
-    return found
+    parts = int(imports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = imports.select(F.col(a).alias("name"), F.col(b).alias("next")).repartition(parts, "name").sortWithinPartitions("name").persist(StorageLevel.DISK_ONLY)
+    mark = lambda df, **flags: df.select(F.col("group").cast("long").alias("group"), "name", *(F.lit(flags.get(f, False)).alias(f) for f in ("new", "old", "met")))
+    marked = ([mark(barred, old=True)] if barred is not None else []) + ([mark(stop_at, met=True)] if stop_at is not None else [])
+
+    def level_of(rows: list[DataFrame]) -> DataFrame:
+        flags = union(rows).groupBy("group", "name").agg(*(F.max(f).alias(f) for f in ("new", "old", "met")))
+        return materialize(flags.where("new and not old").select("group", "name", "met"), "level")
+
+    try:
+        level = level_of([mark(starts, new=True), *marked[1 if barred is not None else 0 :]])
+        found, seen = [level], [level]
+        while True:
+            state = level.groupBy("group").agg(F.max("met")).collect()
+            going = [g for g, met in state if not met]
+            if not going:
+                break
+            if len(going) < len(state):
+                level = level.where(F.col("group").isin(going))
+            ahead = level.join(edges.hint("merge"), "name").select("group", F.col("next").alias("name"))
+            level = level_of([mark(ahead, new=True), *(mark(x, old=True) for x in seen), *marked])
+            found.append(level)
+            seen.append(level)
+            if len(seen) > 8:  # keep the number of tables of a round bounded
+                seen = [materialize(union(seen), "seen")]
+    finally:
+        edges.unpersist()
+    return found[:-1] if len(found) > 1 and not state else found

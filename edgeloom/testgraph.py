@@ -25,8 +25,9 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
     a = line.where("round(l_discount * 100) = 5").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
     b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
-    met = a.join(b, ["l_orderkey", "l_linenumber"]).where("a <> b")
-    met = met.join(leaf.select(F.col("key").alias("a"), F.col("name").alias("importer")), "a").join(leaf.select(F.col("key").alias("b"), F.col("name").alias("imported")), "b")
+    # merged: each of these sides grows with the tables, and a broadcast would pass through the driver
+    met = a.hint("merge").join(b, ["l_orderkey", "l_linenumber"]).where("a <> b")
+    met = met.join(leaf.select(F.col("key").alias("a"), F.col("name").alias("importer")).hint("merge"), "a").join(leaf.select(F.col("key").alias("b"), F.col("name").alias("imported")).hint("merge"), "b")
     details = met.select("importer", "imported", F.col("l_linenumber").cast("int").alias("line_number"), F.concat(F.lit("import "), "imported").alias("line_contents")).distinct()
     return Frames(modules, met.select("importer", "imported").distinct(), details)
 
