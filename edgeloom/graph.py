@@ -289,7 +289,7 @@ class ImportGraph:
         self._need(importer, imported)
         _apart(importer, imported, as_packages)
         target = F.col("name")
-        found = self.find_upstream_modules_df(importer, as_packages)
+        found = reach.find_reach(self.frames.imports, self._starts(importer, as_packages), stop_at=self._starts(imported, as_packages))
         return not found.where(names.within(target, imported) if as_packages else target == imported).isEmpty()
 
     # Architecture

@@ -37,3 +37,10 @@ def test_graph_of_tables_sends_no_table_through_the_driver(spark, sf_dir):
     plan = testgraph.frames(spark, sf_dir).imports
     plan.collect()
     assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_end_where_they_meet_what_is_sought(spark):
+    imports = spark.createDataFrame([(f"m{i}", f"m{i + 1}") for i in range(9)], "importer string, imported string")
+    starts, sought = (spark.createDataFrame(rows, "group long, name string") for rows in ([(0, "m0"), (1, "m0")], [(0, "m2"), (1, "m4")]))
+    found = {(r.group, r.name) for r in reach.find_reach(imports, starts, strategy="rounds", stop_at=sought).collect()}
+    assert found == {(0, "m1"), (0, "m2"), *((1, f"m{i}") for i in range(1, 5))}
