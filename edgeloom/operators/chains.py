@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators import kernels
-from edgeloom.operators.reach import KERNEL_EDGES, _by_rounds, fits, shipped
+from edgeloom.operators.reach import KERNEL_EDGES, _by_rounds, fits, levels, shipped
 from edgeloom.storage import materialize
 
 SCHEMA = "group long, chain array<string>"
@@ -43,6 +43,7 @@ def find_chains(imports: DataFrame, roles: DataFrame, every: bool = True, strate
     those reach its search.
     """
     roles = roles.select(F.col("group").cast("long").alias("group"), "role", "name")
+    imports = materialize(imports.select("importer", "imported"), "imports")  # read once a round otherwise
     if strategy == "kernel" or strategy == "auto" and fits(imports, kernel_edges):
         graph = shipped(imports)
 
@@ -50,6 +51,9 @@ def find_chains(imports: DataFrame, roles: DataFrame, every: bool = True, strate
             return _rows(key[0].as_py(), _search(kernels.Search(*graph(), *_sets(table)), every))
 
         return roles.groupBy("group").applyInArrow(run, SCHEMA)
+    roles = materialize(roles, "roles")
+    if not every:
+        return _one_by_rounds(imports, roles)
     edges = materialize(edges_between(imports, roles), "between")
 
     def paired(key, table, found):
@@ -59,11 +63,36 @@ def find_chains(imports: DataFrame, roles: DataFrame, every: bool = True, strate
     return roles.groupBy("group").cogroup(edges.groupBy("group")).applyInArrow(paired, SCHEMA)
 
 
+def _of(roles: DataFrame, role: str) -> DataFrame:
+    return roles.where(F.col("role") == role).select("group", "name").distinct()
+
+
+def _one_by_rounds(imports: DataFrame, roles: DataFrame) -> DataFrame:
+    """A chain a group: levels back from the tails until one meets a head, then the smallest name of each level on the way down.
+
+    The driver holds the chains themselves, a name a group and step.
+    """
+    back = levels(imports, _of(roles, "tail"), False, _of(roles, "barred"), _of(roles, "head"))
+    chains: dict[int, list[str]] = {}
+    for n in range(len(back) - 1, -1, -1):
+        here = back[n]
+        heads = here.where("met").groupBy("group").agg(F.min("name").alias("name"))
+        if chains:
+            ends = imports.sparkSession.createDataFrame([(g, c[-1]) for g, c in chains.items()], "group long, importer string")
+            edges = imports.where(F.col("importer").isin([c[-1] for c in chains.values()]))
+            next_ = ends.hint("merge").join(edges, "importer").select("group", F.col("imported").alias("name"))
+            next_ = next_.hint("merge").join(here, ["group", "name"], "left_semi").groupBy("group").agg(F.min("name").alias("name"))
+            # a group's levels end where they meet its heads
+            heads = heads.where(~F.col("group").isin(list(chains))).unionAll(next_)
+        for group, name in heads.collect():
+            chains.setdefault(group, []).append(name)
+    return imports.sparkSession.createDataFrame(list(chains.items()), SCHEMA)
+
+
 def edges_between(imports: DataFrame, roles: DataFrame) -> DataFrame:
     """(group, importer, imported): the edges that can lie on a chain of the group."""
-    of = lambda role: roles.where(F.col("role") == role).select("group", "name").distinct()
-    heads, tails, barred = of("head"), of("tail"), of("barred")
+    heads, tails, barred = (_of(roles, role) for role in ("head", "tail", "barred"))
     ahead = heads.unionAll(_by_rounds(imports, heads, True, barred))
     behind = tails.unionAll(_by_rounds(imports, tails, False, barred))
     sources, targets = ahead.withColumnRenamed("name", "importer").distinct(), behind.withColumnRenamed("name", "imported").distinct()
-    return imports.join(sources, "importer").join(targets, ["group", "imported"]).select("group", "importer", "imported")
+    return imports.join(sources.hint("merge"), "importer").join(targets.hint("merge"), ["group", "imported"]).select("group", "importer", "imported")

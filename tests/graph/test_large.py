@@ -2,7 +2,7 @@
 
 import random
 
-from edgeloom.operators import reach
+from edgeloom.operators import chains, kernels, reach
 
 
 def plans_since(spark, first=0):
@@ -44,3 +44,15 @@ def test_rounds_end_where_they_meet_what_is_sought(spark):
     starts, sought = (spark.createDataFrame(rows, "group long, name string") for rows in ([(0, "m0"), (1, "m0")], [(0, "m2"), (1, "m4")]))
     found = {(r.group, r.name) for r in reach.find_reach(imports, starts, strategy="rounds", stop_at=sought).collect()}
     assert found == {(0, "m1"), (0, "m2"), *((1, f"m{i}") for i in range(1, 5))}
+
+
+def test_one_chain_by_rounds(spark):
+    for seed in (3, 4):
+        nodes, edges = random_edges(seed, 40)
+        imports = spark.createDataFrame(edges, "importer string, imported string")
+        sides = [(g, role, n) for g, ends in enumerate(["ab", "be", "ca"]) for role, p in zip(("head", "tail"), ends) for n in nodes if n[0] == p]
+        roles = spark.createDataFrame(sides + [(3, "head", "a.0"), (3, "tail", "none")], "group long, role string, name string")
+        one = no_broadcast(spark, lambda: chains.find_chains(imports, roles, False, "rounds"))
+        out, into = kernels.adjacency(edges)
+        ends = {g: [{n for i, role, n in sides if i == g and role == side} for side in ("head", "tail")] for g in range(3)}
+        assert {r.group: tuple(r.chain) for r in one} == {g: c for g, e in ends.items() if (c := kernels.Search(out, into, *e).shortest())}
