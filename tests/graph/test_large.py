@@ -1,6 +1,7 @@
 """What large graphs must not do: pass through the driver, or be searched once a chain."""
 
 import random
+import time
 
 from edgeloom.operators import chains, kernels, reach
 
@@ -39,13 +40,6 @@ def test_graph_of_tables_sends_no_table_through_the_driver(spark, sf_dir):
     assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
-def test_rounds_end_where_they_meet_what_is_sought(spark):
-    imports = spark.createDataFrame([(f"m{i}", f"m{i + 1}") for i in range(9)], "importer string, imported string")
-    starts, sought = (spark.createDataFrame(rows, "group long, name string") for rows in ([(0, "m0"), (1, "m0")], [(0, "m2"), (1, "m4")]))
-    found = {(r.group, r.name) for r in reach.find_reach(imports, starts, strategy="rounds", stop_at=sought).collect()}
-    assert found == {(0, "m1"), (0, "m2"), *((1, f"m{i}") for i in range(1, 5))}
-
-
 def test_one_chain_by_rounds(spark):
     for seed in (3, 4):
         nodes, edges = random_edges(seed, 40)
@@ -56,3 +50,30 @@ def test_one_chain_by_rounds(spark):
         out, into = kernels.adjacency(edges)
         ends = {g: [{n for i, role, n in sides if i == g and role == side} for side in ("head", "tail")] for g in range(3)}
         assert {r.group: tuple(r.chain) for r in one} == {g: c for g, e in ends.items() if (c := kernels.Search(out, into, *e).shortest())}
+
+
+def test_rounds_end_where_they_meet_what_is_sought(spark):
+    imports = spark.createDataFrame([(f"m{i}", f"m{i + 1}") for i in range(9)], "importer string, imported string")
+    starts, sought = (spark.createDataFrame(rows, "group long, name string") for rows in ([(0, "m0"), (1, "m0")], [(0, "m2"), (1, "m4")]))
+    found = {(r.group, r.name) for r in reach.find_reach(imports, starts, strategy="rounds", stop_at=sought).collect()}
+    assert found == {(0, "m1"), (0, "m2"), *((1, f"m{i}") for i in range(1, 5))}
+
+
+def test_chains_of_one_length_share_a_search():
+    ways = [tuple(f"{p}.{i:04}" for p in "abcd") for i in range(3000)]
+    out, into = kernels.adjacency(e for w in ways for e in zip(w, w[1:]))
+    started = time.process_time()
+    found = kernels.Search(out, into, {w[0] for w in ways}, {w[-1] for w in ways}).all_shortest()
+    assert found == ways and time.process_time() - started < 3
+
+
+def test_search_by_rounds_of_few_and_of_many_modules(spark):
+    far = [(f"z.{i}", f"z.{i + 1}") for i in range(90)]
+    for near in ([("a.1", "b.1"), ("a.1", "c.1"), ("c.1", "b.1"), ("a.2", "c.1"), ("c.1", "b.2")], random_edges(5)[1]):
+        imports = spark.createDataFrame([*near, *(far if len(near) < 9 else [])], "importer string, imported string")
+        sides = [(g, role, f"{p}.{i}") for g, ends in enumerate(["abe", "acb"]) for role, p in zip(("head", "tail", "barred"), ends) for i in range(6)]
+        roles = spark.createDataFrame(sides, "group long, role string, name string")
+        many = chains.edges_between(imports, roles).where("importer like 'z.%'").count()
+        assert many == 0
+        found = [{(r.group, tuple(r.chain)) for r in chains.find_chains(imports, roles, True, s).collect()} for s in ("kernel", "rounds")]
+        assert found[0] == found[1] and found[0]
